@@ -121,7 +121,7 @@ def _csv_load(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.all_checks(tpch.star(spark, folder))
+    return quality.all_checks(tpch.star(spark, folder).with_written_dimensions())
 
 
 def _rejects(spark: SparkSession, folder: str) -> DataFrame:
@@ -181,6 +181,10 @@ def _on_star(plan: Callable[[Star], DataFrame], rounding: dict[str, int] | None
     return lambda spark, folder: comparable(plan(tpch.star(spark, folder)), rounding)
 
 
+def _on_dates(plan: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_star(lambda star: plan(analysis.sales_by_date(star)))
+
+
 def _on(source: Callable, plan: Callable[[DataFrame], DataFrame], rounding: dict[str, int] | None = None, **given) -> Query:
     return lambda spark, folder: comparable(plan(source(spark, folder, **given)), rounding)
 
@@ -211,8 +215,8 @@ QUERIES: dict[str, Query] = {
     "s06_scan_order_ids": _as_is(_scan_order_ids),
     # joined rows
     "q06_inventory_summary": _on_star(lambda star: analysis.inventory_summary(_numbered(star))),
-    "q07_coverage_gap": _on_star(analysis.coverage_gap),
-    "q07_uncovered_dates": _on_star(analysis.uncovered_dates),
+    "q07_coverage_gap": _on_dates(analysis.coverage_gap),
+    "q07_uncovered_dates": _on_dates(analysis.uncovered_dates),
     # batch analysis
     "q08_demand_profile": _on_star(analysis.demand_profile, {"demand_volatility": 6}),
     "q09_category_velocity": _on(_totals, analysis.category_velocity),
@@ -221,9 +225,9 @@ QUERIES: dict[str, Query] = {
     ),
     "q11_promotion_impact_whole": _on(_totals, lambda totals: analysis.promotion_impact(totals, whole=True)),
     "q12_promotion_impact": _on(_totals, analysis.promotion_impact),
-    "q13_season_impact_whole": _on_star(lambda star: analysis.season_impact(star, whole=True)),
-    "q14_season_impact": _on_star(analysis.season_impact),
-    "q15_season_chart": _on_star(analysis.season_chart),
+    "q13_season_impact_whole": _on_dates(lambda dated: analysis.season_impact(dated, whole=True)),
+    "q14_season_impact": _on_dates(analysis.season_impact),
+    "q15_season_chart": _on_dates(analysis.season_chart),
     "q16_observations_per_product": _on_star(analysis.observations_per_product),
     "q17_observation_histogram": _on_star(analysis.observation_histogram),
     "q17_single_observation_share": _on_star(analysis.single_observation_share),
@@ -237,7 +241,7 @@ QUERIES: dict[str, Query] = {
     "q25_category_volatility": _on(_totals, analysis.category_volatility, STDEV),
     "q26_stockout_risk": _on(_metrics, analysis.stockout_risk),
     "q27_turnover_by_category": _on(_totals, analysis.turnover_by_category),
-    "q28_inflation_by_month": _on_star(analysis.inflation_by_month),
+    "q28_inflation_by_month": _on_dates(analysis.inflation_by_month),
     # dashboard
     "q29_clean_extract": _as_is(_extract),
     "q30_filtered_extract": _as_is(_filtered_rows(FILTERED)),

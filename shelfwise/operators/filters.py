@@ -42,5 +42,11 @@ def apply(df: DataFrame, params: Params) -> DataFrame:
 
 
 def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows with product, category, date and quantity present."""
-    return df.dropna(subset=[name for name in REQUIRED_COLUMNS if name in df.columns])
+    """Rows with product, category, date and quantity present.
+
+    One condition per column, so that each reaches the scan it belongs to.
+    """
+    for name in REQUIRED_COLUMNS:
+        if name in df.columns:
+            df = df.where(F.col(name).isNotNull())
+    return df

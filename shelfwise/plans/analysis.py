@@ -1,6 +1,7 @@
 """Batch analysis of the base tables.
 
-``totals`` is a frame of ``skus.sku_totals`` and ``metrics`` one of ``skus.sku_metrics``.
+``totals`` is a frame of ``skus.sku_totals``, ``metrics`` one of ``skus.sku_metrics`` and ``dated`` one of
+``sales_by_date``.
 """
 
 from __future__ import annotations
@@ -30,20 +31,24 @@ def inventory_summary(star: Star) -> DataFrame:
     return joined.select(*(name for name in EXTRACT_COLUMNS if name in joined.columns))
 
 
-def _sales_by_date(star: Star) -> DataFrame:
-    return rollups.rollup(star.sales, "sales_date")
+def sales_by_date(star: Star) -> DataFrame:
+    """Sales totals per date with its factors; ``has_factors`` is null for a date that has none.
+
+    Sales shrink to one row per date before they meet the factors, so neither side needs a broadcast.
+    """
+    factors = star.factors.withColumn("has_factors", F.lit(True))
+    return rollups.rollup(star.sales, "sales_date").join(factors, "sales_date", "left")
 
 
-def coverage_gap(star: Star) -> DataFrame:
+def coverage_gap(dated: DataFrame) -> DataFrame:
     """Number of joined rows without a gdp value: no factors for the date, or none recorded."""
-    by_date = _sales_by_date(star).join(star.factors, "sales_date", "left")
     missing = F.when(F.col("gdp").isNull(), F.col("num_rows"))
-    return by_date.agg(F.coalesce(F.sum(missing), F.lit(0)).alias("sales_without_gdp"))
+    return dated.agg(F.coalesce(F.sum(missing), F.lit(0)).alias("sales_without_gdp"))
 
 
-def uncovered_dates(star: Star) -> DataFrame:
+def uncovered_dates(dated: DataFrame) -> DataFrame:
     """Sales dates that have no row of external factors at all."""
-    gaps = _sales_by_date(star).join(star.factors.select("sales_date"), "sales_date", "left_anti")
+    gaps = dated.where(F.col("has_factors").isNull())
     return gaps.select("sales_date", F.col("num_rows").alias("num_sales")).orderBy("sales_date")
 
 
@@ -147,10 +152,9 @@ def promotion_impact(totals: DataFrame, whole: bool = False) -> DataFrame:
     ).orderBy("promotions")
 
 
-def _season(star: Star, labels: tuple[str, str, str], whole: bool) -> DataFrame:
-    # Sales shrink to one row per date before they meet the factors, so neither side needs a broadcast.
-    dated = _sales_by_date(star).join(star.factors, "sales_date", "inner")
-    merged = rollups.merge(dated, rules.season_band(F.col("seasonal_factor"), labels).alias("season_band"))
+def _season(dated: DataFrame, labels: tuple[str, str, str], whole: bool) -> DataFrame:
+    band = rules.season_band(F.col("seasonal_factor"), labels).alias("season_band")
+    merged = rollups.merge(dated.where("has_factors"), band)
     return merged.select(
         "season_band",
         (_whole_mean_units() if whole else rollups.mean_units(merged)).alias("avg_units_per_sale"),
@@ -158,25 +162,25 @@ def _season(star: Star, labels: tuple[str, str, str], whole: bool) -> DataFrame:
     )
 
 
-def season_impact(star: Star, whole: bool = False) -> DataFrame:
+def season_impact(dated: DataFrame, whole: bool = False) -> DataFrame:
     """Mean quantity and records by season band, highest mean first."""
-    bands = _season(star, rules.SEASON_LABELS, whole)
+    bands = _season(dated, rules.SEASON_LABELS, whole)
     return bands.orderBy(F.desc("avg_units_per_sale"), "season_band")
 
 
-def season_chart(star: Star) -> DataFrame:
+def season_chart(dated: DataFrame) -> DataFrame:
     """Season bands in the order low, normal, high."""
     labels = rules.SEASON_CHART_LABELS
     low, normal, _ = labels
     place = F.when(F.col("season_band") == low, 0).when(F.col("season_band") == normal, 1).otherwise(2)
-    return _season(star, labels, whole=False).orderBy(place)
+    return _season(dated, labels, whole=False).orderBy(place)
 
 
-def inflation_by_month(star: Star) -> DataFrame:
+def inflation_by_month(dated: DataFrame) -> DataFrame:
     """Units and mean inflation per month, each sale counting its date's inflation once."""
-    dated = _sales_by_date(star).join(star.factors, "sales_date", "inner")
+    covered = dated.where("has_factors")
     weight = F.when(F.col("inflation_rate").isNotNull(), F.col("num_rows"))
-    by_month = dated.groupBy(F.trunc("sales_date", "MM").alias("month_start")).agg(
+    by_month = covered.groupBy(F.trunc("sales_date", "MM").alias("month_start")).agg(
         exact.mean(F.sum(F.col("inflation_rate") * F.col("num_rows")), F.sum(weight)).alias("avg_inflation"),
         F.sum("units").alias("total_units_moved"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -25,22 +26,23 @@ class LoadError(ValueError):
 
 def _parsers(kind: str) -> dict[str, Column]:
     """How each text column of a staging table is read; null where it cannot be."""
-    col = F.col
+    product_id = {"product_id": casts.coerce_long(F.col("product_id"))}
+    sales_date = {"sales_date": casts.coerce_date(F.col("sales_date"))}
+    if kind == "products":
+        return product_id
+    if kind == "sales":
+        return {
+            **product_id,
+            **sales_date,
+            "inventory_quantity": casts.coerce_int(F.col("inventory_quantity")),
+            "product_cost": casts.coerce_decimal(F.col("product_cost"), 10, 2),
+        }
     return {
-        "products": {"product_id": casts.coerce_long(col("product_id"))},
-        "sales": {
-            "product_id": casts.coerce_long(col("product_id")),
-            "sales_date": casts.coerce_date(col("sales_date")),
-            "inventory_quantity": casts.coerce_int(col("inventory_quantity")),
-            "product_cost": casts.coerce_decimal(col("product_cost"), 10, 2),
-        },
-        "factors": {
-            "sales_date": casts.coerce_date(col("sales_date")),
-            "gdp": casts.coerce_decimal(col("gdp"), 18, 2),
-            "inflation_rate": casts.coerce_decimal(col("inflation_rate"), 5, 2),
-            "seasonal_factor": casts.coerce_decimal(col("seasonal_factor"), 5, 2),
-        },
-    }[kind]
+        **sales_date,
+        "gdp": casts.coerce_decimal(F.col("gdp"), 18, 2),
+        "inflation_rate": casts.coerce_decimal(F.col("inflation_rate"), 5, 2),
+        "seasonal_factor": casts.coerce_decimal(F.col("seasonal_factor"), 5, 2),
+    }
 
 
 def _typed(staging: DataFrame, kind: str, mode: str, not_null: list[str]) -> DataFrame:
@@ -131,14 +133,13 @@ def load_star(
     star = Star(load_products(products, mode), load_sales(sales, mode), load_factors(factors, mode))
     star = star.with_written_dimensions()
     if mode == COERCE:
-        known = star.products.select("product_id")
-        kept = star.sales.join(known, "product_id", "left_semi")
-    else:
-        missing = joins.orphans(star.sales, star.products).orderBy("product_id").first()
-        if missing:
-            raise LoadError(f"sales of product {missing['product_id']}, which is not listed")
-        kept = star.sales
-    return Star(star.products, number_sales(kept.select(*SALES_ORDER), order_by), star.factors)
+        listed = star.sales.join(star.products.select("product_id"), "product_id", "left_semi")
+        return replace(star, sales=number_sales(listed, order_by))
+    star = replace(star, sales=number_sales(star.sales, order_by))
+    unknown = joins.orphans(star.sales, star.products).orderBy("product_id").first()
+    if unknown:
+        raise LoadError(f"sales of product {unknown['product_id']}, which is not listed")
+    return star
 
 
 def save_star(star: Star, folder: str) -> None:

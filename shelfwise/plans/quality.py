@@ -1,88 +1,117 @@
-"""Checks of the loaded tables, as rows (check, expected, actual, ok)."""
+"""Checks of the loaded tables, as rows (check, expected, actual, ok).
+
+Checks of one table share one pass over it: its rows are counted by key, and all figures come from the counts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise import schemas
 from shelfwise.functions import rules
-from shelfwise.operators import joins
 from shelfwise.star import Star
 
 # Row counts the first load is known to give, and the least a live table should hold.
 EXPECTED_ROWS = {"product_information": 1375, "sales_data": 1500, "external_factors": 1019}
 MINIMUM_ROWS = {"product_information": 1000, "sales_data": 1000, "external_factors": 500}
 
-KEYS = {"product_information": "product_id", "sales_data": "sales_id", "external_factors": "sales_date"}
 
+@dataclass(frozen=True)
+class Check:
+    """A figure that should equal ``expected``, or reach it."""
 
-def _tables(star: Star) -> dict[str, DataFrame]:
-    return dict(zip(schemas.TABLES, (star.products, star.sales, star.factors)))
+    name: str
+    actual: Column
+    expected: int = 0
+    at_least: bool = False
 
+    def row(self) -> Column:
+        actual = F.coalesce(self.actual, F.lit(0)).cast("bigint")
+        expected = F.lit(self.expected).cast("bigint")
+        ok = actual >= expected if self.at_least else actual == expected
+        return F.struct(F.lit(self.name).alias("check"), expected.alias("expected"), actual.alias("actual"), ok.alias("ok"))
 
-def _check(df: DataFrame, name: str, actual: Column, expected: int = 0, at_least: bool = False) -> DataFrame:
-    found = df.agg(F.coalesce(actual, F.lit(0)).cast("bigint").alias("actual"))
-    wanted = F.lit(expected).cast("bigint")
-    ok = F.col("actual") >= wanted if at_least else F.col("actual") == wanted
-    return found.select(F.lit(name).alias("check"), wanted.alias("expected"), "actual", ok.alias("ok"))
 
+def _run(counts: DataFrame, checks: list[Check]) -> DataFrame:
+    one_row = counts.agg(F.array(*(check.row() for check in checks)).alias("checks"))
+    return one_row.select(F.inline("checks"))
 
-def _all(checks: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks)
 
+def _key_checks(table: str, key: str) -> list[Check]:
+    """Key values that repeat, and rows without a key; reads counts per key in ``num_rows``."""
+    missing = F.col(key).isNull()
+    return [
+        Check(f"{table}: repeated {key}", F.count_if((F.col("num_rows") > 1) & ~missing)),
+        Check(f"{table}: missing {key}", F.sum(F.when(missing, F.col("num_rows")))),
+    ]
 
-def key_checks(star: Star) -> DataFrame:
-    """Key values that repeat, and rows without a key, per table; a table without its key column is left out."""
-    checks = []
-    for name, df in _tables(star).items():
-        key = KEYS[name]
-        if key in df.columns:
-            counts = df.groupBy(key).count()
-            checks.append(_check(counts, f"{name}: repeated {key}", F.count_if((F.col("count") > 1) & F.col(key).isNotNull())))
-            checks.append(_check(counts, f"{name}: missing {key}", F.sum(F.when(F.col(key).isNull(), F.col("count")))))
-    return _all(checks)
 
+def _row_check(table: str, rows: Mapping[str, int], exact_count: bool) -> list[Check]:
+    if table not in rows:
+        return []
+    kind = "rows" if exact_count else "least rows"
+    return [Check(f"{table}: {kind}", F.sum("num_rows"), rows[table], at_least=not exact_count)]
 
-def not_null_checks(star: Star) -> DataFrame:
-    """Sales without product or date."""
-    return _all(
-        [
-            _check(star.sales, f"sales_data: missing {name}", F.count_if(F.col(name).isNull()))
-            for name in ("product_id", "sales_date")
-        ]
-    )
+
+def product_checks(star: Star, rows: Mapping[str, int] = MINIMUM_ROWS, exact_count: bool = False) -> DataFrame:
+    """Key, row count and text widths of the products."""
+    table = "product_information"
+    too_long = {
+        name: F.count_if(F.length(name) > limit).alias(f"long_{name}") for name, limit in schemas.TEXT_LIMITS.items()
+    }
+    counts = star.products.groupBy("product_id").agg(F.count("*").alias("num_rows"), *too_long.values())
+    widths = [
+        Check(f"{table}: {name} over {limit}", F.sum(f"long_{name}")) for name, limit in schemas.TEXT_LIMITS.items()
+    ]
+    return _run(counts, [*_key_checks(table, "product_id"), *_row_check(table, rows, exact_count), *widths])
 
 
-def foreign_key_check(star: Star) -> DataFrame:
-    """Sales whose product is not listed."""
-    return _check(joins.orphans(star.sales, star.products), "sales_data: unknown product_id", F.sum("num_sales"))
+def sales_checks(star: Star, rows: Mapping[str, int] = MINIMUM_ROWS, exact_count: bool = False) -> DataFrame:
+    """Row count, missing values, unknown products, and products without a category, over the sales."""
+    table = "sales_data"
+    sold = star.sales.groupBy("product_id").agg(
+        F.count("*").alias("num_rows"), F.count_if(F.col("sales_date").isNull()).alias("undated")
+    )
+    listed = star.products.groupBy("product_id").agg(
+        F.bool_or(F.col("product_category").isNull()).alias("no_category"), F.lit(True).alias("listed")
+    )
+    no_product = F.col("product_id").isNull()
+    unknown = ~no_product & F.col("listed").isNull()
+    return _run(
+        sold.join(listed, "product_id", "left"),
+        [
+            *_row_check(table, rows, exact_count),
+            Check(f"{table}: missing product_id", F.sum(F.when(no_product, F.col("num_rows")))),
+            Check(f"{table}: missing sales_date", F.sum("undated")),
+            Check(f"{table}: unknown product_id", F.sum(F.when(unknown, F.col("num_rows")))),
+            Check("inventory_summary: missing product_category", F.sum(F.when(F.col("no_category"), F.col("num_rows")))),
+        ],
+    )
 
 
-def row_count_checks(star: Star, expected: Mapping[str, int], at_least: bool = False) -> DataFrame:
-    """Row counts against known or least numbers."""
-    kind = "least rows" if at_least else "rows"
-    tables = _tables(star)
-    return _all([_check(tables[name], f"{name}: {kind}", F.count("*"), n, at_least) for name, n in expected.items()])
+def sales_key_checks(star: Star) -> DataFrame:
+    """The row number of the sales as a key."""
+    counts = star.sales.groupBy("sales_id").agg(F.count("*").alias("num_rows"))
+    return _run(counts, _key_checks("sales_data", "sales_id"))
 
 
-def category_check(star: Star) -> DataFrame:
-    """Sales that meet a product without a category."""
-    sold = star.sales.groupBy("product_id").agg(F.count("*").alias("num_sales"))
-    without = joins.with_products(sold, star.products.where(F.col("product_category").isNull()))
-    return _check(without, "inventory_summary: missing product_category", F.sum("num_sales"))
+def factor_checks(star: Star, rows: Mapping[str, int] = MINIMUM_ROWS, exact_count: bool = False) -> DataFrame:
+    """Key and row count of the external factors."""
+    table = "external_factors"
+    counts = star.factors.groupBy("sales_date").agg(F.count("*").alias("num_rows"))
+    return _run(counts, [*_key_checks(table, "sales_date"), *_row_check(table, rows, exact_count)])
 
 
-def text_length_checks(star: Star) -> DataFrame:
-    """Product texts over their declared width."""
-    return _all(
-        [
-            _check(star.products, f"product_information: {name} over {limit}", F.count_if(F.length(name) > limit))
-            for name, limit in schemas.TEXT_LIMITS.items()
-        ]
-    )
+def all_checks(star: Star, rows: Mapping[str, int] = MINIMUM_ROWS, exact_count: bool = False) -> DataFrame:
+    """Every check of the base tables; row numbers are checked where the sales have them."""
+    parts = [check(star, rows, exact_count) for check in (product_checks, sales_checks, factor_checks)]
+    if "sales_id" in star.sales.columns:
+        parts.append(sales_key_checks(star))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def column_checks(frames: Mapping[str, DataFrame], required: Mapping[str, tuple[str, ...]]) -> DataFrame:
@@ -110,17 +139,3 @@ def repeated_dates(staging_factors: DataFrame) -> DataFrame:
 
 def has_rows(df: DataFrame) -> bool:
     return not df.isEmpty()
-
-
-def all_checks(star: Star, at_least: Mapping[str, int] = MINIMUM_ROWS) -> DataFrame:
-    """Every check that reads the base tables."""
-    return _all(
-        [
-            key_checks(star),
-            not_null_checks(star),
-            foreign_key_check(star),
-            row_count_checks(star, at_least, at_least=True),
-            category_check(star),
-            text_length_checks(star),
-        ]
-    )

@@ -16,13 +16,14 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a local session without one gets a temporary folder."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="shelfwise-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return f"{folder.rstrip('/')}/shelfwise/{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
+        folder = context.getCheckpointDir()
+    return f"{folder.rstrip('/')}/shelfwise/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
