@@ -138,7 +138,7 @@ FROM sales s JOIN factors e ON s.sales_date = e.sales_date GROUP BY 1"""
 
 def kpis(where: str, ratio: float, days: int, z: float, level: str) -> str:
     return board(
-        f"""SELECT {rounded("COALESCE(SUM(capital_tied_up) FILTER (WHERE is_overstock), 0)", 2)} AS capital_at_risk,
+        f"""SELECT {rounded("COALESCE(SUM(CAST(capital_tied_up AS DECIMAL(28,6))) FILTER (WHERE is_overstock), 0)", 2)} AS capital_at_risk,
        COUNT(*) FILTER (WHERE is_overstock) AS flagged_skus,
        (SELECT CAST(COALESCE(SUM(inventory_quantity), 0) AS DOUBLE) FROM extract) AS units_analyzed,
        '{level}' AS service_level, {days} AS lead_time_days
@@ -200,7 +200,7 @@ ACTION_LIST = f"""SELECT product_id AS "Product ID", product_category AS "Catego
 FROM sku"""
 
 KPI_CARDS = """, figures AS (
-    SELECT SUM(capital_tied_up) FILTER (WHERE is_overstock) AS capital,
+    SELECT CAST(SUM(CAST(capital_tied_up AS DECIMAL(28,6))) FILTER (WHERE is_overstock) AS DOUBLE) AS capital,
            COUNT(*) FILTER (WHERE is_overstock) AS flagged,
            (SELECT SUM(inventory_quantity) FROM extract) AS units
     FROM sku
@@ -321,7 +321,7 @@ FROM metrics ORDER BY 3 DESC, product_id LIMIT 10"""
 FROM metrics WHERE is_overstock"""
     ),
     "q22_capital_by_category": batch(
-        f"""SELECT product_category, {rounded("SUM(demand * cost)", 2)} AS total_capital_tied_up
+        f"""SELECT product_category, {rounded("SUM(CAST(demand * cost AS DECIMAL(28,6)))", 2)} AS total_capital_tied_up
 FROM metrics WHERE is_overstock GROUP BY product_category"""
     ),
     "q23_monthly_trend": f"""{TABLES}
@@ -396,8 +396,8 @@ FROM all_rows""",
         FILTERED,
     ),
     "q36_capital_by_category": board(
-        f"""SELECT product_category, {rounded("SUM(capital_tied_up)", 2)} AS capital_tied_up,
-       {rounded("SUM(capital_tied_up) / 1000", 4)} AS capital_k
+        f"""SELECT product_category, {rounded("SUM(CAST(capital_tied_up AS DECIMAL(28,6)))", 2)} AS capital_tied_up,
+       {rounded("CAST(SUM(CAST(capital_tied_up AS DECIMAL(28,6))) AS DOUBLE) / 1000", 4)} AS capital_k
 FROM sku WHERE is_overstock GROUP BY product_category"""
     ),
     "q37_volatility_by_category": board(

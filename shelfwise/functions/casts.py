@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 DAY_FIRST = "d/M/yyyy"
+DAY_FIRST_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 
 
 def coerce_int(raw: Column) -> Column:
@@ -20,8 +21,9 @@ def coerce_decimal(raw: Column, precision: int, scale: int) -> Column:
 
 
 def coerce_date(raw: Column) -> Column:
-    """Day-first date, with or without leading zeros."""
-    return F.try_to_date(F.trim(raw), DAY_FIRST)
+    """Day-first date, with or without leading zeros. Text of another shape is not worth a parse attempt."""
+    text = F.trim(raw)
+    return F.when(text.rlike(DAY_FIRST_SHAPE), F.try_to_date(text, DAY_FIRST))
 
 
 def strict(raw: Column, parsed: Column, name: str) -> Column:

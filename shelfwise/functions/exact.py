@@ -20,6 +20,11 @@ def mean(total: Column, n: Column) -> Column:
     return total.cast("double") / F.nullif(n, F.lit(0)).cast("double")
 
 
+def total(value: Column) -> Column:
+    """Sum of doubles that is the same in any order: each is taken to six places and added as a decimal."""
+    return F.sum(value.cast("decimal(28,6)")).cast("double")
+
+
 def half_up_mean(total: Column, n: Column, places: int) -> Column:
     """Mean of decimal values rounded half away from zero once, from the exact total."""
     scaled = (total * F.lit(10**places)).cast(WIDE)

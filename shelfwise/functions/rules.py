@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Labels of the season bands and of the risk flag.
 SEASON_LABELS = ("Low season", "Normal", "High season")
 SEASON_CHART_LABELS = ("Low Season", "Normal", "High Season")
 OVERSTOCK_LABEL = "Overstock risk — low velocity"

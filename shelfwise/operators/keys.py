@@ -15,14 +15,19 @@ PLACE_BITS = 33
 def dense_key(df: DataFrame, name: str, order_by: list[str] | None = None) -> DataFrame:
     """Add ``name`` = 1..n.
 
-    With ``order_by`` numbers follow a range-partitioned sort and are the same on each run; the extra
-    key splits equal rows over partitions. Without it they follow the scan and nothing is shuffled.
-    Rows are written once with partition and place; the driver only sees one count per partition.
+    With ``order_by`` numbers follow a range-partitioned sort and are the same on each run. Equal rows may
+    be many, so a last sort key spreads them over partitions; it is written before the sort, because a key
+    made anew after the loss of an executor could send a row to two partitions. Without ``order_by``
+    numbers follow the scan and nothing is shuffled.
+
+    Rows are written with their partition and place; the driver only sees one count per partition.
     """
+    rows = df
     if order_by:
-        df = df.withColumn("_tie", F.monotonically_increasing_id()).orderBy(*order_by, "_tie").drop("_tie")
+        rows = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), f"{name}-input")
+        rows = rows.orderBy(*order_by, "_tie").drop("_tie")
     place = F.monotonically_increasing_id().bitwiseAND((1 << PLACE_BITS) - 1)
-    placed = materialise(df.withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
+    placed = materialise(rows.withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
 
     counts = sorted(placed.groupBy("_part").count().collect())
     before = [0, *accumulate(row["count"] for row in counts)]

@@ -268,6 +268,6 @@ def overstock_register(metrics: DataFrame) -> DataFrame:
 def capital_by_category(metrics: DataFrame) -> DataFrame:
     """Capital in flagged products per category, most first."""
     flagged = metrics.where("is_overstock").groupBy("product_category")
-    return flagged.agg(F.sum("capital_tied_up").alias("total_capital_tied_up")).orderBy(
+    return flagged.agg(exact.total(F.col("capital_tied_up")).alias("total_capital_tied_up")).orderBy(
         F.desc("total_capital_tied_up"), "product_category"
     )

@@ -45,6 +45,14 @@ ACTION_COLUMNS = {
     "is_overstock": "Overstock Risk Flag",
 }
 
+# Labels of the headline cards, each with the note under it.
+KPI_CARDS = {
+    "Capital at Risk": "Demand < {share}% of baseline",
+    "Flagged Overstock SKUs": "Low-velocity target",
+    "Inventory Quantity Analyzed": "Filtered dataset",
+    "Target Service Level": "Lead time: {days} days",
+}
+
 
 # --- cleaning --------------------------------------------------------------------------------------
 
@@ -146,7 +154,7 @@ def kpis(metrics: DataFrame, params: Params = Params()) -> DataFrame:
     """One row of headline figures."""
     flagged = F.col("is_overstock")
     return metrics.agg(
-        F.coalesce(F.sum(F.when(flagged, F.col("capital_tied_up"))), F.lit(0.0)).alias("capital_at_risk"),
+        F.coalesce(exact.total(F.when(flagged, F.col("capital_tied_up"))), F.lit(0.0)).alias("capital_at_risk"),
         F.count_if(flagged).alias("flagged_skus"),
         F.coalesce(F.sum("sku_units"), F.lit(0)).cast("double").alias("units_analyzed"),
     ).select(
@@ -169,7 +177,8 @@ def data_summary(all_totals: DataFrame, params: Params = Params()) -> DataFrame:
 
 def capital_by_category(metrics: DataFrame) -> DataFrame:
     """Capital in flagged SKUs per category, also in thousands, most first."""
-    sums = metrics.where("is_overstock").groupBy("product_category").agg(F.sum("capital_tied_up").alias("capital_tied_up"))
+    flagged = metrics.where("is_overstock").groupBy("product_category")
+    sums = flagged.agg(exact.total(F.col("capital_tied_up")).alias("capital_tied_up"))
     return sums.withColumn("capital_k", F.col("capital_tied_up") / 1000).orderBy(
         F.desc("capital_tied_up"), "product_category"
     )
@@ -274,24 +283,18 @@ def action_list_text(metrics: DataFrame) -> DataFrame:
 
 def kpi_cards(figures: DataFrame, params: Params = Params()) -> DataFrame:
     """The headline figures as four cards (label, value, note)."""
-    share = int(params.overstock_ratio * 100)
-
-    def card(label: str, value: Column, note: str) -> Column:
-        return F.struct(F.lit(label).alias("label"), value.alias("value"), F.lit(note).alias("note"))
-
+    values = [
+        display.money(F.col("capital_at_risk")),
+        F.concat(display.whole(F.col("flagged_skus")), F.lit(" SKUs")),
+        F.concat(display.whole(F.col("units_analyzed")), F.lit(" Units")),
+        F.col("service_level"),
+    ]
+    share, days = int(params.overstock_ratio * 100), params.lead_time_days
     cards = F.array(
-        card("Capital at Risk", display.money(F.col("capital_at_risk")), f"Demand < {share}% of baseline"),
-        card(
-            "Flagged Overstock SKUs",
-            F.concat(display.whole(F.col("flagged_skus")), F.lit(" SKUs")),
-            "Low-velocity target",
-        ),
-        card(
-            "Inventory Quantity Analyzed",
-            F.concat(display.whole(F.col("units_analyzed")), F.lit(" Units")),
-            "Filtered dataset",
-        ),
-        card("Target Service Level", F.col("service_level"), f"Lead time: {params.lead_time_days} days"),
+        *(
+            F.struct(F.lit(label).alias("label"), value.alias("value"), F.lit(note.format(share=share, days=days)).alias("note"))
+            for (label, note), value in zip(KPI_CARDS.items(), values)
+        )
     )
     return figures.select(F.inline(cards))
 

@@ -90,6 +90,33 @@ def test_sales_move_once_on_their_product(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(product_id", plan)) == 2
 
 
+def test_hot_product_is_split_in_the_row_level_join(spark, skewed_folder):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.files.maxPartitionBytes": "4KB",
+        "spark.sql.files.openCostInBytes": "1",
+        "spark.sql.shuffle.partitions": "24",
+    }
+    before = {key: spark.conf.get(key, None) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        df = queries()["q06_inventory_summary"](spark, skewed_folder)
+        found = df.toPandas()
+        whole = df.agg(F.max(F.xxhash64(*df.columns)))
+        whole.collect()
+        plan = plan_of(whole)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert "skew=true" in plan
+    assert difference(found, connect(skewed_folder).execute(oracle_sql()["q06_inventory_summary"]).df()) is None
+
+
 def test_scans_read_the_columns_they_need(spark):
     plan = plan_of(queries()["q16_observations_per_product"](spark, SMOKE_FOLDER))
     assert re.findall(r"FileScan parquet \[([^\]]*)\]", plan)[0].count(",") == 1
