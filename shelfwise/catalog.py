@@ -127,7 +127,12 @@ def _quality(spark: SparkSession, folder: str) -> DataFrame:
 def _rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Sales whose dates are read as prices and prices as dates: each value is rejected."""
     raw = tpch.as_text(tpch.raw_sales(spark, folder))
-    swapped = raw.select("product_id", F.col("product_cost").alias("sales_date"), "inventory_quantity", F.col("sales_date").alias("product_cost"))
+    swapped = raw.select(
+        "product_id",
+        F.col("product_cost").alias("sales_date"),
+        "inventory_quantity",
+        F.col("sales_date").alias("product_cost"),
+    )
     return load.rejects(swapped, "sales").groupBy("column_name").agg(
         F.count("*").alias("num_rejects"), F.count_distinct("raw_value").alias("num_values")
     )

@@ -5,6 +5,8 @@ All start from whole-number or decimal totals, which add up the same in any orde
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 WIDE = "decimal(38,0)"
@@ -31,7 +33,8 @@ def half_up_mean(total: Column, n: Column, places: int) -> Column:
     count = F.nullif(n, F.lit(0)).cast(WIDE)
     size = F.call_function("div", F.abs(scaled) * 2 + count, count * 2)
     signed = F.when(scaled < 0, -size).otherwise(size)
-    return (signed / F.lit(10**places)).cast(f"decimal(38,{places})")
+    unit = F.lit(Decimal(1).scaleb(-places))
+    return (signed.cast("decimal(20,0)") * unit).cast(f"decimal(38,{places})")
 
 
 def sample_stdev(n: Column, total: Column, squares: Column) -> Column:

@@ -59,7 +59,7 @@ def with_factors(rows: DataFrame, factors: DataFrame) -> DataFrame:
 
     ``factors`` should be a written table. It has one row per calendar date.
     """
-    return join_small(rows, factors, "sales_date", "left", split_by=["product_id", "sales_date", "product_cost"])
+    return join_small(rows, factors, "sales_date", "left", split_by=rows.columns)
 
 
 def orphans(sales: DataFrame, products: DataFrame) -> DataFrame:

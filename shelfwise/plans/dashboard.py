@@ -290,10 +290,11 @@ def kpi_cards(figures: DataFrame, params: Params = Params()) -> DataFrame:
         F.col("service_level"),
     ]
     share, days = int(params.overstock_ratio * 100), params.lead_time_days
+    notes = [note.format(share=share, days=days) for note in KPI_CARDS.values()]
     cards = F.array(
         *(
-            F.struct(F.lit(label).alias("label"), value.alias("value"), F.lit(note.format(share=share, days=days)).alias("note"))
-            for (label, note), value in zip(KPI_CARDS.items(), values)
+            F.struct(F.lit(label).alias("label"), value.alias("value"), F.lit(note).alias("note"))
+            for label, note, value in zip(KPI_CARDS, notes, values)
         )
     )
     return figures.select(F.inline(cards))
@@ -301,11 +302,12 @@ def kpi_cards(figures: DataFrame, params: Params = Params()) -> DataFrame:
 
 def summary_text(summary: DataFrame) -> DataFrame:
     """The data summary as two captions."""
-    loaded = F.concat(
-        F.lit("Loaded "), display.whole(F.col("records")), F.lit(" records across "), display.whole(F.col("skus")), F.lit(" SKUs.")
+    records, products = display.whole(F.col("records")), display.whole(F.col("skus"))
+    first, last = display.month(F.col("first_date")), display.month(F.col("last_date"))
+    return summary.select(
+        F.format_string("Loaded %s records across %s SKUs.", records, products).alias("loaded"),
+        F.format_string("Filtered period: %s – %s", first, last).alias("period"),
     )
-    span = F.concat(F.lit("Filtered period: "), display.month(F.col("first_date")), F.lit(" – "), display.month(F.col("last_date")))
-    return summary.select(loaded.alias("loaded"), span.alias("period"))
 
 
 def macro_text(macro: DataFrame) -> DataFrame:

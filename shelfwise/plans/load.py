@@ -64,9 +64,12 @@ def _type_of(kind: str, name: str) -> str:
 
 def rejects(staging: DataFrame, kind: str) -> DataFrame:
     """One row per text value that cannot be read (column_name, raw_value)."""
+
+    def entry(name: str) -> Column:
+        return F.struct(F.lit(name).alias("column_name"), F.col(name).alias("raw_value"))
+
     bad = [
-        F.when(F.col(name).isNotNull() & value.isNull(), F.struct(F.lit(name).alias("column_name"), F.col(name).alias("raw_value")))
-        for name, value in _parsers(kind).items()
+        F.when(F.col(name).isNotNull() & value.isNull(), entry(name)) for name, value in _parsers(kind).items()
     ]
     found = F.explode(F.array_compact(F.array(*bad))).alias("bad")
     return staging.select(found).select("bad.column_name", "bad.raw_value")

@@ -48,7 +48,7 @@ def test_stdev_of_fractions(spark):
 
 
 @settings(max_examples=15, deadline=None)
-@given(st.lists(st.integers(-(10**9), 10**9), min_size=1, max_size=7), st.sampled_from([2, 6]))
+@given(st.lists(st.integers(-(10**12), 10**12), min_size=1, max_size=7), st.sampled_from([2, 6]))
 def test_half_up_mean(spark, cents, places):
     total = Decimal(sum(cents)) / 100
     df = spark.createDataFrame([(total, len(cents))], "total decimal(20,2), n bigint")
@@ -65,6 +65,11 @@ def test_half_up_mean_rounds_once(spark):
     assert df.select(exact.half_up_mean(F.col("total"), F.col("n"), 2)).first()[0] == Decimal("0.00")
 
 
+def test_half_up_mean_of_the_largest_stored_value(spark):
+    df = spark.createDataFrame([(Decimal("9999999999999999.99"), 1)], "total decimal(20,2), n bigint")
+    assert df.select(exact.half_up_mean(F.col("total"), F.col("n"), 2)).first()[0] == Decimal("9999999999999999.99")
+
+
 def test_means_over_no_rows_are_null(spark):
     df = spark.createDataFrame([(None, 0)], "total bigint, n bigint")
     total, n = F.col("total"), F.col("n")
