@@ -12,6 +12,7 @@ from shelfwise import schemas
 from shelfwise.functions import casts, exact, rules
 from shelfwise.operators import joins
 from shelfwise.operators.keys import dense_key
+from shelfwise.plans import analysis
 from shelfwise.star import Star
 
 STRICT = "strict"
@@ -165,6 +166,12 @@ def publish(frames: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
+def publish_star(star: Star) -> None:
+    """Register the base tables and the joined view ``inventory_summary`` for SQL."""
+    publish(dict(zip(schemas.TABLES, (star.products, star.sales, star.factors))))
+    publish({"inventory_summary": analysis.inventory_summary(star)})
+
+
 def drop_views(spark: SparkSession, names: list[str]) -> None:
     """Remove temporary views, such as staging after a good load."""
     for name in names:

@@ -21,18 +21,15 @@ def _product_id() -> Column:
     return (F.col("l_partkey") * SUPPLIERS + F.col("l_suppkey")).alias("product_id")
 
 
-def raw_products(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per order line, so ids repeat and their promotion values conflict."""
-    lines = _table(spark, folder, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
-    parts = _table(spark, folder, "part").select("p_partkey", "p_type")
+def _products(lines: DataFrame, parts: DataFrame) -> DataFrame:
     promotions = F.when(F.col("l_returnflag") == "R", "Yes").otherwise("No")
     return lines.join(parts, lines.l_partkey == parts.p_partkey).select(
         _product_id(), F.col("p_type").alias("product_category"), promotions.alias("promotions")
     )
 
 
-def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "lineitem").select(
+def _sales(lines: DataFrame) -> DataFrame:
+    return lines.select(
         _product_id(),
         F.col("l_shipdate").cast("date").alias("sales_date"),
         F.col("l_quantity").cast("int").alias("inventory_quantity"),
@@ -40,6 +37,15 @@ def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def raw_products(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per order line, so ids repeat and their promotion values conflict."""
+    return _products(_table(spark, folder, "lineitem"), _table(spark, folder, "part"))
+
+
+def raw_sales(spark: SparkSession, folder: str) -> DataFrame:
+    return _sales(_table(spark, folder, "lineitem"))
+
+
 def raw_factors(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order, so dates repeat."""
     date = F.col("o_orderdate").cast("date")
@@ -63,8 +69,9 @@ def as_text(raw: DataFrame) -> DataFrame:
 
 def star(spark: SparkSession, folder: str) -> Star:
     """Base tables without row numbers on the sales."""
+    lines = _table(spark, folder, "lineitem")
     return Star(
-        load.dedupe_products(raw_products(spark, folder)),
-        raw_sales(spark, folder),
+        load.dedupe_products(_products(lines, _table(spark, folder, "part"))),
+        _sales(lines),
         load.average_by_date(raw_factors(spark, folder)),
     )

@@ -173,6 +173,17 @@ def test_views(spark, staged):
     assert not spark.catalog.tableExists("staging_products")
 
 
+def test_star_answers_sql(spark, staged, rows):
+    load.publish_star(load.load_star(*staged()))
+    joined = spark.sql(
+        "SELECT p.product_category, SUM(s.inventory_quantity) AS units FROM sales_data s "
+        "JOIN product_information p ON s.product_id = p.product_id GROUP BY p.product_category"
+    )
+    assert rows(joined) == [("Laptops", 5), ("SmartPhones", 7)]
+    assert spark.sql("SELECT COUNT(*) FROM inventory_summary WHERE gdp IS NULL").first()[0] == 1
+    load.drop_views(spark, [*schemas.TABLES, "inventory_summary"])
+
+
 def test_line_with_a_missing_field(spark, tmp_path):
     path = write(tmp_path, "s.csv", SALES + "7,1/1/2020\n")
     with pytest.raises(Exception, match="(?i)malformed"):
