@@ -352,8 +352,16 @@ FROM sales JOIN factors USING (sales_date) GROUP BY 1""",
     # dashboard
     "q29_clean_extract": f"{TABLES} SELECT {SUMMARY_COLUMNS} FROM summary",
     "q30_filtered_extract": f"{TABLES} SELECT {SUMMARY_COLUMNS} FROM summary WHERE {FILTERED}",
-    "f01_no_category_selected": board(
-        "SELECT product_id, product_category, promotions, COUNT(*) AS num_rows FROM extract GROUP BY 1, 2, 3", "FALSE"
+    "f01_filter_counts": board(
+        f"""SELECT COUNT(*) AS everything,
+       COUNT(*) FILTER (WHERE product_category IN ('ECONOMY', 'PROMO')) AS two_categories,
+       CAST(0 AS BIGINT) AS no_category,
+       COUNT(*) FILTER (WHERE product_category = 'NONE SUCH') AS unknown_category,
+       COUNT(*) FILTER (WHERE lower(promotions) = 'yes') AS promoted,
+       COUNT(*) FILTER (WHERE {NOT_PROMOTED}) AS not_promoted,
+       COUNT(*) FILTER (WHERE {FILTERED}) AS combined,
+       COUNT(*) AS unreadable_sku
+FROM all_rows"""
     ),
     "f02_not_promoted": board(
         "SELECT product_id, product_category, promotions, COUNT(*) AS num_rows FROM extract GROUP BY 1, 2, 3", NOT_PROMOTED

@@ -117,6 +117,11 @@ def totals_from_star(star: Star, params: Params = Params()) -> DataFrame:
 
 
 def totals_from_extract(extract: DataFrame, params: Params = Params()) -> DataFrame:
+    """Totals of rows joined elsewhere; ``extract`` should be a stored or cached table.
+
+    Over a join still to be run, grouping would keep the join's partitions, and with them a hot product in
+    one task. Start from the base tables there.
+    """
     return rollups.rollup(filters.apply(extract, params), *SKU_KEYS)
 
 
