@@ -8,8 +8,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = "▁"
@@ -17,9 +17,9 @@ SPACE = "▁"
 LITERAL = "\udc81"
 DROPOUT = 0.1
 #: A unit at a place of a document takes one of this many segmentations, chosen by a keyed hash.
-VARIANTS = 8
+VARIANTS = 4
 CHUNK_CHARS = 2_000_000
-CACHED_UNITS = 300_000
+CACHED_UNITS = 400_000
 LONG_UNIT = 96
 NONE = np.int64(2**62)
 _LOW = np.int64(2**32 - 1)
@@ -39,6 +39,33 @@ def keep_merge(unit_hash: np.ndarray, variant: np.ndarray, start: np.ndarray, mi
     return (_mix(key ^ _mix(place)) >> np.uint64(11)) >= np.uint64(dropout * 2**53)
 
 
+_SLOT_BITS = 19
+_SLOT_MASK = (1 << _SLOT_BITS) - 1
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _hash_table(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and values in an open-addressed table, -1 where a slot is free."""
+    if 2 * len(keys) > _SLOT_MASK:
+        raise ValueError("too many merges for the table")
+    slots, held = np.full(_SLOT_MASK + 1, -1, np.int64), np.zeros(_SLOT_MASK + 1, np.int32)
+    for key, value, at in zip(keys.tolist(), values.tolist(), _slot(keys).tolist()):
+        while slots[at] >= 0:
+            at = (at + 1) & _SLOT_MASK
+        slots[at], held[at] = key, value
+    return slots, held
+
+
+def unit_name(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each unit in a row of code points, the units beginning at ``first``."""
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+    mixed = _mix(codes.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32)))
+    return np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
+
+
 class Pieces:
     """A merge-type SentencePiece model: its pieces, merges and their order."""
 
@@ -61,8 +88,7 @@ class Pieces:
                 self.char[ord(piece)] = i
         self.merge = {(ids[p[:k]], ids[p[k:]]): i for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
         keys = np.array([a * size + b for a, b in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.merged = keys[order], np.array(list(self.merge.values()), np.int32)[order]
+        self.slots, self.merged = _hash_table(keys, np.array(list(self.merge.values()), np.int32))
         self.byte = {int(text[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.raw = [b""] * size
         for i in self.normal:
@@ -75,9 +101,17 @@ class Pieces:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that joins two pieces, -1 where there is none."""
-        key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((left >= 0) & (right >= 0) & (self.keys[at] == key), self.merged[at], -1)
+        found = np.full(len(left), -1, np.int32)
+        rows = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[rows].astype(np.int64) * self.size + right[rows]
+        slot = _slot(key)
+        while len(rows):
+            there = self.slots[slot]
+            hit = there == key
+            found[rows[hit]] = self.merged[slot[hit]]
+            on = ~hit & (there >= 0)
+            rows, key, slot = rows[on], key[on], (slot[on] + 1) & _SLOT_MASK
+        return found
 
     def spell(self, char: str) -> list[int]:
         """The bytes of a character that is no piece."""
@@ -89,7 +123,7 @@ class Pieces:
         n = len(sym)
         start, end = list(range(n)), [i + 1 for i in range(n)]
         before, after = [i - 1 for i in range(n)], [i + 1 for i in range(n)]
-        name = np.array([xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"))], np.uint64)
+        name = unit_name(np.array([ord(c) for c in unit], np.uint32), np.array([0]))
         heap: list[tuple[int, int, int, int, int]] = []
 
         def offer(i: int) -> None:
@@ -119,10 +153,10 @@ class Pieces:
         """The agenda for many units at once, one merge of each unit in a round: all ids in a row, and their number by unit."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        names = np.fromiter((xxhash.xxh64_intdigest(u.encode("utf-8", "surrogatepass")) for u in units), np.uint64, len(units))
         first = np.cumsum(sizes) - sizes
-        row = np.repeat(np.arange(len(units)), sizes)
-        start = np.arange(len(codes)) - first[row]
+        names = unit_name(codes, first)
+        row = np.repeat(np.arange(len(units), dtype=np.int32), sizes)
+        start = (np.arange(len(codes)) - first[row]).astype(np.int32)
         end = start + 1
         sym = self.char[codes]
         code = codes.copy()
@@ -216,9 +250,9 @@ class Encoder:
         return _mix(own + np.arange(n, dtype=np.uint64)) % np.uint64(self.variants)
 
     def _learn(self, keys: np.ndarray, names: list[str]) -> None:
-        units, variants = [names[k // self.variants] for k in keys], keys % self.variants
-        long = [i for i, u in enumerate(units) if len(u) > LONG_UNIT]
-        short = [i for i, u in enumerate(units) if len(u) <= LONG_UNIT]
+        units, variants = [names[i] for i in (keys // self.variants).tolist()], keys % self.variants
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        long, short = np.flatnonzero(sizes > LONG_UNIT), np.flatnonzero(sizes <= LONG_UNIT)
         for places, (ids, widths) in (
             (short, self.pieces.segment([units[i] for i in short], variants[short].astype(np.uint64), self.seed, self.dropout)),
             (long, _joined([self.pieces.agenda(units[i], int(variants[i]), self.seed, self.dropout) for i in long])),
@@ -271,16 +305,24 @@ def decode_ids(pieces: Pieces, ids: list[int]) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of some CHUNK_CHARS together; a text is never cut."""
-    begin = total = 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= CHUNK_CHARS:
-            yield begin, i + 1
-            begin, total = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """First row and texts of stretches of some CHUNK_CHARS bytes together; null is the empty text, and no text is cut."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = sizes[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(sizes, before + CHUNK_CHARS)))
+        yield begin, [t or "" for t in texts.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def _encoded(batches: Iterator[tuple[pa.Array, pa.Array]], encoder: Encoder) -> Iterator[tuple[pa.ListArray, np.ndarray, np.ndarray]]:
+    for docs, texts in batches:
+        for begin, part in _chunks(texts):
+            names = [0 if d is None else d for d in docs.slice(begin, len(part)).to_pylist()]
+            ids, widths = encoder.encode(names, part)
+            offsets = np.concatenate([[0], np.cumsum(widths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), ids, offsets
 
 
 def piece_ids(doc_id: Column, text: Column, proto: bytes, *, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS) -> Column:
@@ -293,21 +335,26 @@ def piece_ids(doc_id: Column, text: Column, proto: bytes, *, seed: int = 0, drop
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        encoder = shared_encoder(proto, seed, dropout, variants)
-        for docs, texts in batches:
-            docs = [0 if d is None else d for d in docs.to_pylist()]
-            texts = [t or "" for t in texts.to_pylist()]
-            parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for a, b in _chunks(texts):
-                ids, widths = encoder.encode(docs[a:b], texts[a:b])
-                parts.append(ids)
-                sizes.append(widths)
-            offsets = np.cumsum(np.concatenate(sizes)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+        for rows, _, _ in _encoded(batches, shared_encoder(proto, seed, dropout, variants)):
+            yield rows
 
     return encode(doc_id.cast("long"), text)
 
 
+def coded(doc_id: Column, text: Column, proto: bytes, *, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS) -> Column:
+    """Struct of the ids of a text, as piece_ids gives them, and ``decoded``, the text that these ids decode to."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        encoder = shared_encoder(proto, seed, dropout, variants)
+        for rows, ids, offsets in _encoded(batches, encoder):
+            cuts = offsets.tolist()
+            texts = pa.array([decode_ids(encoder.pieces, ids[a:b].tolist()) for a, b in zip(cuts, cuts[1:])], pa.string())
+            yield pa.StructArray.from_arrays([rows, texts], names=["ids", "decoded"])
+
+    return both(doc_id.cast("long"), text)
+
+
 def pieces_text(ids: Column, proto: bytes) -> Column:
     """The text of an array of ids; null and empty arrays give the empty text."""
 

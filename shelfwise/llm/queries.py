@@ -48,10 +48,12 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def piece_rows(docs: DataFrame) -> DataFrame:
     """doc_id, ids, n_pieces, decoded_sha256 and lossless (the decoded ids are the text) for each document."""
     ship_package(docs.sparkSession)
-    encoded = pieces.encode_documents(docs.select("doc_id", "text"), piece_model(), seed=PIECE_SEED)
-    decoded = encoded.withColumn("decoded", pieces.pieces_text(F.col("ids"), piece_model()))
-    return decoded.select(
-        "doc_id", "ids", "n_pieces", F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless")
+    both = pieces.coded(F.col("doc_id"), F.col("text"), piece_model(), seed=PIECE_SEED)
+    rows = docs.select("doc_id", "text", both.alias("c"))
+    lossless = F.col("c.decoded") == F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", F.col("c.ids").alias("ids"), F.size("c.ids").cast("long").alias("n_pieces"),
+        F.sha2("c.decoded", 256).alias("decoded_sha256"), lossless.alias("lossless"),
     )
 
 
