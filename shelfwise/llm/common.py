@@ -128,3 +128,19 @@ def ship_package(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._shelfwise_shipped = True
+
+
+HOT_SHARE = 1000
+
+
+def join_weighed(big: DataFrame, small: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Inner join of rows to a written table that holds each key once, with the number of its rows in ``weight``.
+
+    Keys with over one in HOT_SHARE of all rows, of which there are fewer than HOT_SHARE, are broadcast, so that their rows stay
+    where they are; the rows of all other keys are dealt by key, and no key there is hot.
+    """
+    total = small.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    is_hot = F.col(weight) > F.lit(total // HOT_SHARE)
+    hot = F.broadcast(small.where(is_hot))
+    rest = big.join(F.broadcast(small.where(is_hot).select(*keys)), keys, "left_anti").join(small.where(~is_hot), keys)
+    return big.join(hot, keys).unionByName(rest)

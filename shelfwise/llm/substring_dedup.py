@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shelfwise.llm.common import join_measured, rows_of
+from shelfwise.llm.common import join_weighed, rows_of
 from shelfwise.workspace import materialise
 
 #: Repeated units in a row go if they have this many words together; shorter repeats are common speech and stay.
@@ -72,17 +72,16 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
     ``min_words`` words. ``start`` and ``stop`` are code points of the text as it is; ``first_*`` is where the first unit of a span stays.
 
     Null and empty texts have no units. Null ids rank last. Rows with the same id and text are one document. Nothing
-    is dropped from long texts or large groups: a group only gives its least occurrence, combined before the shuffle.
+    is dropped from long texts or large groups: a group only gives its size and least occurrence, combined before the shuffle.
     """
     units = unit_table(docs)
-    rank = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "doc_id", "th", "start")
-    groups = units.groupBy(*DIGEST).agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    groups = materialise(groups.where(F.col("first") != F.col("last")).select(*DIGEST, "first"), "unit-groups")
-    hits = join_measured(units, groups, DIGEST, "inner", row_bytes=96, spread=F.col("th"))
-    repeats = hits.where(~F.struct("doc_id", "th", "start").eqNullSafe(F.struct("first.doc_id", "first.th", "first.start")))
-    repeats = repeats.select("doc_id", "th", "unit", "start", "stop", "words", "first.doc_id", "first.start").toDF(
-        "doc_id", "th", "unit", "start", "stop", "words", "first_doc_id", "first_start"
-    ).distinct()
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rank"), "th", "start")
+    groups = units.groupBy(*DIGEST).agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    groups = materialise(groups, "unit-groups")
+    hits = join_weighed(units, groups, DIGEST, "n").where(place != F.col("first"))
+    first_id = F.when(F.col("first.rank") != LAST, F.col("first.rank"))
+    repeats = hits.select("doc_id", "th", "unit", "start", "stop", "words", first_id.alias("first_doc_id"), F.col("first.start").alias("first_start"))
+    repeats = repeats.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "unit"])  # repeated rows
     run = F.col("unit") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("unit"))
     spans = repeats.withColumn("run", run).groupBy("doc_id", "th", "run").agg(
         F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_words"),
