@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise.llm import decontaminate, line_dedup, quality_trees, queries, simhash
-from shelfwise.llm.common import ship_package
+from shelfwise.llm.common import prepare
 from shelfwise.workspace import materialise
 
 SHINGLE_WORDS = 3
@@ -17,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels of ``docs``, does not reject."""
-    ship_package(spark)
+    prepare(spark)
     scored = quality_trees.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.where(F.col("predicted") == 1).select(docs.columns)
 
@@ -30,7 +30,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.keep_one_of_each(docs, shingle_words=SHINGLE_WORDS).select(docs.columns)
 
 

@@ -116,8 +116,13 @@ def rows_of(docs: DataFrame, marked: DataFrame, how: str, row_bytes: int = 48) -
     return docs.join(marked, on, how).drop("_id", "_th")
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers of the application, once, so that they need no copy of their own."""
+#: Rows in an Arrow batch. Texts are long, so that the default of ten thousand would take much memory on both sides.
+ARROW_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators in Python need: this package on the workers, sent once, and Arrow batches of ARROW_ROWS."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_shelfwise_shipped", False):
         return

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from shelfwise.llm import (
     decontaminate, license_scan, line_dedup, pieces, quality_trees, recurrent_lm, repetition, simhash, substring_dedup, url_filter,
 )
-from shelfwise.llm.common import ship_package
+from shelfwise.llm.common import prepare
 from shelfwise.llm.sql import ORACLES  # noqa: F401
 from shelfwise.llm.url_filter import Rule
 
@@ -34,7 +34,7 @@ def piece_model(path: str = PIECE_MODEL) -> bytes:
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
@@ -47,7 +47,7 @@ def url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 
 def piece_rows(docs: DataFrame) -> DataFrame:
     """doc_id, ids, n_pieces, decoded_sha256 and lossless (the decoded ids are the text) for each document."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     both = pieces.coded(F.col("doc_id"), F.col("text"), piece_model(), seed=PIECE_SEED)
     rows = docs.select("doc_id", "text", both.alias("c"))
     lossless = F.col("c.decoded") == F.coalesce("text", F.lit(""))
