@@ -442,3 +442,23 @@ SELECT product_id, COUNT(*) AS num_rows, COUNT(*) FILTER (WHERE promotions = 'Ye
 FROM raw_products GROUP BY product_id HAVING COUNT(DISTINCT promotions) > 1""",
     "d09_repeated_dates": f"{TABLES} SELECT sales_date, COUNT(*) AS num_rows FROM raw_factors GROUP BY sales_date HAVING COUNT(*) > 1",
 }
+
+
+def with_quantity(sql: str, quantity: str) -> str:
+    """The same question about sales whose quantities are ``quantity``, which need not be whole or small."""
+    other = sql.replace("CAST(l_quantity AS INTEGER) AS inventory_quantity", f"{quantity} AS inventory_quantity")
+    other = other.replace(WHOLE_MEAN, "CAST(TRUNC(SUM(inventory_quantity) / COUNT(inventory_quantity)) AS INTEGER)")
+    return other.replace("CAST(SUM(inventory_quantity) AS BIGINT)", "SUM(inventory_quantity)")
+
+
+EIGHTHS = "CAST(l_quantity AS DOUBLE) / 8"
+LARGE = "CAST(l_quantity AS BIGINT) * 100000000"
+for _name in ("q08_demand_profile", "q10_product_reorder_points", "q12_promotion_impact", "q25_category_volatility", "q28_inflation_by_month"):
+    ORACLES[f"{_name}_eighths"] = with_quantity(ORACLES[_name], EIGHTHS)
+ORACLES["q12_promotion_impact_large"] = with_quantity(ORACLES["q12_promotion_impact"], LARGE)
+ORACLES["q25_category_volatility_large"] = with_quantity(
+    f"""{TABLES}
+SELECT product_category, {rounded("STDDEV_SAMP(inventory_quantity)", 0)} AS category_stdev
+FROM sales JOIN products USING (product_id) GROUP BY product_category""",
+    LARGE,
+)

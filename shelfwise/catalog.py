@@ -55,6 +55,24 @@ def _totals(spark: SparkSession, folder: str) -> DataFrame:
     return skus.sku_totals(tpch.star(spark, folder))
 
 
+def _with_quantity(spark: SparkSession, folder: str, quantity: str) -> Star:
+    """The star with other quantities, which need not be whole or small."""
+    star = tpch.star(spark, folder)
+    return Star(star.products, star.sales.withColumn("inventory_quantity", F.expr(quantity)), star.factors)
+
+
+def _totals_of(spark: SparkSession, folder: str, quantity: str) -> DataFrame:
+    return skus.sku_totals(_with_quantity(spark, folder, quantity))
+
+
+def _dates_of(spark: SparkSession, folder: str, quantity: str) -> DataFrame:
+    return analysis.sales_by_date(_with_quantity(spark, folder, quantity))
+
+
+EIGHTHS = "cast(inventory_quantity as double) / 8"
+LARGE = "cast(inventory_quantity as bigint) * 100000000"
+
+
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
     return skus.sku_metrics(skus.write_totals(_totals(spark, folder)))
 
@@ -117,7 +135,8 @@ def _csv_load(spark: SparkSession, folder: str) -> DataFrame:
     star = load.open_star(spark, f"{home}/tables")
     counts = load.staging_counts(star.products, star.sales, star.factors)
     units = star.sales.agg(F.sum("inventory_quantity").alias("units"), F.sum("product_cost").alias("cost"))
-    return counts.join(units, F.col("tbl") == "sales_data", "left")
+    both = counts.unionByName(units.withColumn("tbl", F.lit("sales_data")), allowMissingColumns=True)
+    return both.groupBy("tbl").agg(*(F.max(c).alias(c) for c in both.columns if c != "tbl"))
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,6 +281,16 @@ QUERIES: dict[str, Query] = {
     "q26_stockout_risk": _on(_metrics, analysis.stockout_risk),
     "q27_turnover_by_category": _on(_totals, analysis.turnover_by_category),
     "q28_inflation_by_month": _on_dates(analysis.inflation_by_month),
+    # the same on fractional and on large quantities
+    "q08_demand_profile_eighths": _on(_with_quantity, analysis.demand_profile, {"demand_volatility": 6}, quantity=EIGHTHS),
+    "q10_product_reorder_points_eighths": _on(
+        _with_quantity, analysis.product_reorder_points, {"demand_stdev": 6, "safety_stock": 6, "reorder_point": 6}, quantity=EIGHTHS
+    ),
+    "q12_promotion_impact_eighths": _on(_totals_of, analysis.promotion_impact, quantity=EIGHTHS),
+    "q25_category_volatility_eighths": _on(_totals_of, analysis.category_volatility, STDEV, quantity=EIGHTHS),
+    "q28_inflation_by_month_eighths": _on(_dates_of, analysis.inflation_by_month, quantity=EIGHTHS),
+    "q12_promotion_impact_large": _on(_totals_of, analysis.promotion_impact, quantity=LARGE),
+    "q25_category_volatility_large": _on(_totals_of, analysis.category_volatility, {"category_stdev": 0}, quantity=LARGE),
     # dashboard
     "q29_clean_extract": _as_is(_extract),
     "q30_filtered_extract": _as_is(_filtered_rows(FILTERED)),

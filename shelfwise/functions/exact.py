@@ -49,7 +49,8 @@ def sample_stdev(n: Column, total: Column, squares: Column) -> Column:
     around_centre = (squares - centre * (wide + rest)).cast("double")
     count, remainder = n.cast("double"), rest.cast("double")
     spread = around_centre - remainder * remainder / count
-    return F.when(n > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (count - 1)))
+    spread = F.when(spread < 0, 0.0).otherwise(spread)  # a total beyond its type stays null
+    return F.when(n > 1, F.sqrt(spread / (count - 1)))
 
 
 def round_half_up(value: Column, places: int) -> Column:

@@ -10,37 +10,46 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from shelfwise.functions import exact
 
-# Fractional quantities are counted in millionths, so that their totals are exact as well.
-FRACTION_TICKS = 10**6
+# Fractional quantities are taken to this many decimal places, so that their totals are exact as well.
+FRACTION_PLACES = 6
+TICKS_PER_UNIT = 10**FRACTION_PLACES
 
 SKU_KEYS = ["product_id", "product_category", "promotions"]
 
 
-def _ticks(df: DataFrame) -> Column:
+def _is_whole(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.IntegralType)
+
+
+def _amount(df: DataFrame) -> Column:
+    """Quantity of a row in units, as an exact number."""
     quantity = F.col("inventory_quantity")
-    if isinstance(df.schema["inventory_quantity"].dataType, T.IntegralType):
-        return quantity.cast("bigint")
-    return F.round(quantity * FRACTION_TICKS).cast("decimal(20,0)")
+    return quantity.cast("bigint") if _is_whole(df, "inventory_quantity") else quantity.cast(f"decimal(28,{FRACTION_PLACES})")
+
+
+def _square(df: DataFrame) -> Column:
+    """Square of a quantity: in units, or in squared ticks where quantities are fractional."""
+    ticks = _amount(df) if _is_whole(df, "inventory_quantity") else _amount(df) * TICKS_PER_UNIT
+    ticks = ticks.cast("decimal(19,0)")
+    return (ticks * ticks).cast(exact.WIDE)
 
 
-def ticks_per_unit(df: DataFrame, column: str = "units") -> int:
-    """How many counted ticks make one unit in a rollup."""
-    return 1 if isinstance(df.schema[column].dataType, T.LongType) else FRACTION_TICKS
+def ticks_per_unit(df: DataFrame) -> int:
+    """Scale of ``units_squared`` in a rollup, whose ``units`` are always in units."""
+    return 1 if _is_whole(df, "units") else TICKS_PER_UNIT
 
 
 def _total_type(df: DataFrame) -> str:
-    whole = isinstance(df.schema["inventory_quantity"].dataType, T.IntegralType)
-    return "bigint" if whole else exact.WIDE
+    return "bigint" if _is_whole(df, "inventory_quantity") else f"decimal(38,{FRACTION_PLACES})"
 
 
 def measures(df: DataFrame) -> list[Column]:
     """Totals per group that add up further: row and value counts, units, their squares, cost, date span."""
-    ticks = _ticks(df)
     return [
         F.count("*").alias("num_rows"),
         F.count("inventory_quantity").alias("num_quantities"),
-        F.sum(ticks).cast(_total_type(df)).alias("units"),
-        F.sum((ticks * ticks).cast("decimal(28,0)")).cast(exact.WIDE).alias("units_squared"),
+        F.sum(_amount(df)).cast(_total_type(df)).alias("units"),
+        F.sum(_square(df)).cast(exact.WIDE).alias("units_squared"),
         F.count("product_cost").alias("num_costs"),
         F.sum("product_cost").alias("cost"),
         F.min("sales_date").alias("first_date"),
@@ -70,8 +79,7 @@ def merge(rollups: DataFrame, *keys: str | Column) -> DataFrame:
 
 def units(df: DataFrame) -> Column:
     """Units of a rollup: a whole number, or a double where quantities are fractional."""
-    ticks = ticks_per_unit(df)
-    return F.col("units") if ticks == 1 else F.col("units").cast("double") / ticks
+    return F.col("units") if _is_whole(df, "units") else F.col("units").cast("double")
 
 
 def mean_units(df: DataFrame) -> Column:
@@ -84,5 +92,6 @@ def mean_cost() -> Column:
 
 def stdev_units(df: DataFrame) -> Column:
     """Sample standard deviation of quantity per row; null for a single row."""
-    stdev = exact.sample_stdev(F.col("num_quantities"), F.col("units"), F.col("units_squared"))
-    return stdev / ticks_per_unit(df)
+    scale = ticks_per_unit(df)
+    total = F.col("units") if scale == 1 else (F.col("units") * scale).cast(exact.WIDE)
+    return exact.sample_stdev(F.col("num_quantities"), total, F.col("units_squared")) / scale

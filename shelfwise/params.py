@@ -52,5 +52,5 @@ class Params:
     def sku_warning(self) -> str | None:
         """Message for text that cannot be used as a product id."""
         if self.sku.strip() and self.sku_id is None:
-            return "Product ID must be numeric."
+            return "Product ID must be numeric."  # fixed value: the text of the message
         return None

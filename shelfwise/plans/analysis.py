@@ -182,8 +182,9 @@ def inflation_by_month(dated: DataFrame) -> DataFrame:
     weight = F.when(F.col("inflation_rate").isNotNull(), F.col("num_rows"))
     by_month = covered.groupBy(F.trunc("sales_date", "MM").alias("month_start")).agg(
         exact.mean(F.sum(F.col("inflation_rate") * F.col("num_rows")), F.sum(weight)).alias("avg_inflation"),
-        F.sum("units").alias("total_units_moved"),
+        F.sum("units").cast(covered.schema["units"].dataType).alias("units"),
     )
+    by_month = by_month.select("month_start", "avg_inflation", rollups.units(by_month).alias("total_units_moved"))
     return by_month.orderBy("month_start")
 
 

@@ -309,6 +309,7 @@ def summary_text(summary: DataFrame) -> DataFrame:
     """The data summary as two captions."""
     records, products = display.whole(F.col("records")), display.whole(F.col("skus"))
     first, last = display.month(F.col("first_date")), display.month(F.col("last_date"))
+    # fixed values: the texts of the two captions
     return summary.select(
         F.format_string("Loaded %s records across %s SKUs.", records, products).alias("loaded"),
         F.format_string("Filtered period: %s – %s", first, last).alias("period"),
