@@ -18,8 +18,8 @@ LITERAL = "\udc81"
 DROPOUT = 0.1
 #: A unit at a place of a document takes one of this many segmentations, chosen by a keyed hash.
 VARIANTS = 4
-CHUNK_CHARS = 2_000_000
-CACHED_UNITS = 400_000
+CHUNK_CHARS = 1_000_000
+CACHED_UNITS = 300_000
 LONG_UNIT = 96
 NONE = np.int64(2**62)
 _LOW = np.int64(2**32 - 1)
@@ -239,6 +239,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.names: list[str] = []
         self.at = np.full(1 << 16, -1, np.int64)
         self.width = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.int32)
@@ -249,8 +250,8 @@ class Encoder:
         own = _mix(np.array([doc & (2**64 - 1)], np.uint64) ^ np.uint64(self.seed))
         return _mix(own + np.arange(n, dtype=np.uint64)) % np.uint64(self.variants)
 
-    def _learn(self, keys: np.ndarray, names: list[str]) -> None:
-        units, variants = [names[i] for i in (keys // self.variants).tolist()], keys % self.variants
+    def _learn(self, keys: np.ndarray) -> None:
+        units, variants = [self.names[i] for i in (keys // self.variants).tolist()], keys % self.variants
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         long, short = np.flatnonzero(sizes > LONG_UNIT), np.flatnonzero(sizes <= LONG_UNIT)
         for places, (ids, widths) in (
@@ -271,7 +272,8 @@ class Encoder:
         split = [units_of(t) for t in texts]
         units = [u for part in split for u in part]
         for unit in set(units).difference(self.index):
-            self.index[unit] = len(self.index)
+            self.index[unit] = len(self.names)
+            self.names.append(unit)
         need = len(self.index) * self.variants
         while need > len(self.at):
             self.at = np.concatenate([self.at, np.full_like(self.at, -1)])
@@ -281,7 +283,7 @@ class Encoder:
         key = uid * self.variants + (np.concatenate(variant).astype(np.int64) if variant else 0)
         new = np.unique(key[self.at[key] < 0])
         if len(new):
-            self._learn(new, list(self.index))
+            self._learn(new)
         width = self.width[key].astype(np.int64)
         last = np.cumsum(width)
         ids = self.flat[np.repeat(self.at[key] - last + width, width) + np.arange(last[-1] if len(last) else 0)]
