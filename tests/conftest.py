@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from shelfwise.session import build_session  # noqa: E402
 
+# The eight rows on which the hand-checked results rest.
 JOINED_ROWS = [
     (1, 101, "Laptops", "Yes", date(2022, 1, 15), 5.0, 800.0, 1.5, 5.2, 1.0),
     (2, 101, "Laptops", "Yes", date(2022, 2, 20), 7.0, 800.0, 1.6, 5.3, 1.1),

