@@ -65,6 +65,11 @@ def rounded(value: str, places: int) -> str:
     return f"CAST(ROUND(CAST({value} AS DECIMAL(28,{places + 6})), {places}) AS DOUBLE)"
 
 
+def rounded_mean(total: str, n: str, places: int) -> str:
+    """``total / n``, both whole and not negative, rounded half up in whole numbers."""
+    return f"CAST((CAST({total} AS HUGEINT) * {2 * 10**places} + {n}) // (2 * {n}) AS DOUBLE) / {10**places}"
+
+
 def batch(query: str, ratio: float = 0.5, days: int = 7, z: float = 1.65) -> str:
     """``query`` over ``metrics``, the SKU figures of the batch analysis."""
     return f"""{TABLES},
@@ -219,7 +224,7 @@ SELECT "check", CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS
     UNION ALL SELECT 'external_factors: missing sales_date', 0, COUNT(*) - COUNT(sales_date) AS a, a = 0 FROM factors
     UNION ALL SELECT 'sales_data: missing product_id', 0, COUNT(*) - COUNT(product_id) AS a, a = 0 FROM sales
     UNION ALL SELECT 'sales_data: missing sales_date', 0, COUNT(*) - COUNT(sales_date) AS a, a = 0 FROM sales
-    UNION ALL SELECT 'sales_data: unknown product_id', 0, COUNT(*) AS a, a = 0 FROM sales ANTI JOIN products USING (product_id)
+    UNION ALL SELECT 'sales_data: unknown product_id', 0, COUNT(*) AS a, a = 0 FROM sales ANTI JOIN products USING (product_id) WHERE product_id IS NOT NULL
     UNION ALL SELECT 'product_information: least rows', 1000, COUNT(*) AS a, a >= 1000 FROM products
     UNION ALL SELECT 'sales_data: least rows', 1000, COUNT(*) AS a, a >= 1000 FROM sales
     UNION ALL SELECT 'external_factors: least rows', 500, COUNT(*) AS a, a >= 500 FROM factors
@@ -296,7 +301,7 @@ SELECT num_records, COUNT(*) AS how_many_products
 FROM (SELECT product_id, COUNT(*) AS num_records FROM sales GROUP BY product_id) GROUP BY num_records""",
     "q17_single_observation_share": f"""{TABLES}
 SELECT COUNT(*) AS products, COUNT(*) FILTER (WHERE n = 1) AS single,
-       {rounded("COUNT(*) FILTER (WHERE n = 1) * 100 / COUNT(*)", 1)} AS single_share_pct
+       {rounded_mean("COUNT(*) FILTER (WHERE n = 1) * 100", "COUNT(*)", 1)} AS single_share_pct
 FROM (SELECT product_id, COUNT(*) AS n FROM sales GROUP BY product_id)""",
     "q18_reorder_points": batch(
         f"""SELECT product_id, product_category, demand AS product_avg_demand, {rounded("category_stdev", 6)} AS category_stdev,
@@ -326,7 +331,7 @@ FROM metrics WHERE is_overstock GROUP BY product_category"""
     ),
     "q23_monthly_trend": f"""{TABLES}
 SELECT product_category, {MONTH} AS month_start, COUNT(*) AS num_transactions,
-       {rounded(MEAN, 1)} AS avg_units_per_sale, CAST(SUM(inventory_quantity) AS BIGINT) AS total_units_moved
+       {rounded_mean("SUM(inventory_quantity)", "COUNT(inventory_quantity)", 1)} AS avg_units_per_sale, CAST(SUM(inventory_quantity) AS BIGINT) AS total_units_moved
 FROM sales JOIN products USING (product_id) GROUP BY 1, 2""",
     "q24_monthly_trend_chart": f"""{TABLES}
 SELECT product_category, {MONTH} AS month_start, CAST(SUM(inventory_quantity) AS BIGINT) AS total_units_moved
@@ -342,7 +347,7 @@ FROM metrics ORDER BY 3 DESC, product_id LIMIT 10"""
     ),
     "q27_turnover_by_category": f"""{TABLES}
 SELECT product_category,
-       {rounded("CAST(SUM(inventory_quantity) AS DOUBLE) / COUNT(DISTINCT product_id)", 1)} AS avg_units_per_product,
+       {rounded_mean("SUM(inventory_quantity)", "COUNT(DISTINCT product_id)", 1)} AS avg_units_per_product,
        {rounded("AVG(product_cost)", 2)} AS avg_unit_cost
 FROM sales JOIN products USING (product_id) GROUP BY product_category""",
     "q28_inflation_by_month": f"""{TABLES}
@@ -462,3 +467,64 @@ SELECT product_category, {rounded("STDDEV_SAMP(inventory_quantity)", 0)} AS cate
 FROM sales JOIN products USING (product_id) GROUP BY product_category""",
     LARGE,
 )
+
+ORACLES["q23_monthly_trend_eighths"] = f"""{TABLES}
+SELECT product_category, {MONTH} AS month_start, COUNT(*) AS num_transactions,
+       {rounded_mean("SUM(inventory_quantity)", "(8 * COUNT(inventory_quantity))", 1)} AS avg_units_per_sale,
+       CAST(SUM(inventory_quantity) AS DOUBLE) / 8 AS total_units_moved
+FROM sales JOIN products USING (product_id) GROUP BY 1, 2"""
+ORACLES["q23_monthly_trend_places"] = f"""{TABLES}
+SELECT ROW_NUMBER() OVER (ORDER BY product_category, month_start) AS place, product_category, month_start
+FROM (SELECT DISTINCT product_category, {MONTH} AS month_start FROM sales JOIN products USING (product_id))"""
+ORACLES["q41_action_list_places"] = board(
+    """SELECT ROW_NUMBER() OVER (ORDER BY is_overstock DESC, capital_tied_up DESC, product_id) AS place,
+       product_id AS "Product ID", is_overstock AS "Overstock Risk Flag" FROM sku"""
+)
+for _name in ("q31_category_stats", "q32_sku_metrics"):
+    ORACLES[f"{_name}_extract"] = ORACLES[_name]
+ORACLES["q31_category_stats_extract_filtered"] = ORACLES["q31_category_stats_filtered"]
+ORACLES["s08_view_by_sql"] = f"""{TABLES}
+SELECT product_category, promotions, COUNT(*) AS num_sales, CAST(SUM(inventory_quantity) AS BIGINT) AS units, COUNT(gdp) AS with_gdp
+FROM summary GROUP BY 1, 2"""
+
+DIRTY = f"""{TABLES}, dirty AS (
+    SELECT product_id, product_category, CASE WHEN product_id % 3 <> 0 THEN promotions END AS promotions, sales_date,
+           CAST(inventory_quantity AS DOUBLE) AS inventory_quantity,
+           CASE WHEN product_id % 17 <> 4 THEN CAST(product_cost AS DOUBLE) END AS product_cost, CAST(NULL AS DOUBLE) AS gdp,
+           CAST(inflation_rate AS DOUBLE) AS inflation_rate, CAST(seasonal_factor AS DOUBLE) AS seasonal_factor
+    FROM summary
+    WHERE product_id % 7 <> 1 AND product_id % 13 <> 3 AND product_id % 11 <> 2
+)
+"""
+ORACLES["q29_clean_extract_dirty"] = DIRTY + "SELECT * FROM dirty"
+ORACLES["q32_totals_dirty"] = DIRTY + """SELECT product_id, product_category, promotions, COUNT(*) AS num_rows,
+       SUM(inventory_quantity) AS units, COUNT(product_cost) AS num_costs FROM dirty GROUP BY 1, 2, 3"""
+ORACLES["q40_macro_dirty"] = DIRTY + " UNION ALL ".join(
+    f"""SELECT '{name}' AS metric, {rounded(f"AVG({name})", 6)} AS "Average", MIN({name}) AS "Minimum", MAX({name}) AS "Maximum" FROM dirty"""
+    for name in ("inflation_rate", "seasonal_factor")
+)
+
+DIRTY_CHECKS = CHECKS
+for _name in ("products", "sales", "factors"):
+    for _word in ("FROM", "JOIN"):
+        DIRTY_CHECKS = DIRTY_CHECKS.replace(f"{_word} {_name}", f"{_word} poor_{_name}")
+ORACLES["d01_table_checks_dirty"] = f"""{TABLES}, marked AS (
+    SELECT product_id, CASE WHEN product_id % 10 <> 5 THEN product_category END AS product_category,
+           CASE WHEN product_id % 10 = 6 THEN 'promoted twice' ELSE promotions END AS promotions
+    FROM products
+),
+poor_products AS (SELECT * FROM marked UNION ALL SELECT * FROM marked WHERE product_id % 10 = 4),
+poor_sales AS (
+    SELECT CASE WHEN product_id % 4 <> 0 THEN product_id END AS sales_id,
+           CASE WHEN product_id % 10 = 2 THEN -product_id WHEN product_id % 10 <> 1 THEN product_id END AS product_id,
+           CASE WHEN product_id % 10 <> 3 THEN sales_date END AS sales_date
+    FROM sales
+),
+poor_factors AS (
+    SELECT CASE WHEN month(sales_date) <> 3 THEN sales_date END AS sales_date FROM factors
+    UNION ALL SELECT sales_date FROM factors WHERE month(sales_date) = 2
+)
+{DIRTY_CHECKS}
+UNION ALL SELECT 'sales_data: repeated sales_id', 0, COUNT(*) AS a, a = 0
+    FROM (SELECT sales_id FROM poor_sales WHERE sales_id IS NOT NULL GROUP BY sales_id HAVING COUNT(*) > 1)
+UNION ALL SELECT 'sales_data: missing sales_id', 0, COUNT(*) - COUNT(sales_id) AS a, a = 0 FROM poor_sales"""

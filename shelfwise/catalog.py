@@ -7,12 +7,14 @@ root or on a sum of doubles are rounded.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from shelfwise import schemas
 from shelfwise.functions import exact
-from shelfwise.operators import filters
+from shelfwise.operators import filters, rollups
+from shelfwise.operators.keys import dense_key
 from shelfwise.operators.rollups import SKU_KEYS
 from shelfwise.params import Params
 from shelfwise.plans import analysis, charts, dashboard, load, quality, skus
@@ -47,8 +49,7 @@ def comparable(df: DataFrame, rounding: dict[str, int] | None = None) -> DataFra
 
 def _numbered(star: Star) -> Star:
     """The star with row numbers on the sales and written dimensions, for row-level results."""
-    written = star.with_written_dimensions()
-    return Star(written.products, load.number_sales(written.sales), written.factors)
+    return replace(star.with_written_dimensions(), sales=load.number_sales(star.sales))
 
 
 def _totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,7 +59,7 @@ def _totals(spark: SparkSession, folder: str) -> DataFrame:
 def _with_quantity(spark: SparkSession, folder: str, quantity: str) -> Star:
     """The star with other quantities, which need not be whole or small."""
     star = tpch.star(spark, folder)
-    return Star(star.products, star.sales.withColumn("inventory_quantity", F.expr(quantity)), star.factors)
+    return replace(star, sales=star.sales.withColumn("inventory_quantity", F.expr(quantity)))
 
 
 def _totals_of(spark: SparkSession, folder: str, quantity: str) -> DataFrame:
@@ -157,6 +158,87 @@ def _rejects(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _view_by_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The published view, asked in SQL."""
+    load.publish_star(tpch.star(spark, folder))
+    return spark.sql(
+        "SELECT product_category, promotions, COUNT(*) AS num_sales, SUM(inventory_quantity) AS units, COUNT(gdp) AS with_gdp "
+        "FROM inventory_summary GROUP BY product_category, promotions"
+    )
+
+
+def _dirty_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Joined rows as untidy text: blanks around names, missing keys, words among the numbers, impossible dates, and no gdp
+    at all. Faults follow from the product id."""
+    joined = analysis.inventory_summary(tpch.star(spark, folder).with_written_dimensions())
+
+    def fault(divisor: int, rest: int, value: str | None, name: str) -> Column:
+        return F.when(F.col("product_id") % divisor == rest, F.lit(value)).otherwise(F.col(name).cast("string"))
+
+    padded = F.when(F.col("product_id") % 5 == 0, F.concat(F.lit("\t "), "product_category", F.lit(" \n"))).otherwise(F.col("product_category"))
+    return joined.withColumn("product_category", padded).withColumns(
+        {
+            "product_category": fault(7, 1, None, "product_category"),
+            "promotions": fault(3, 0, None, "promotions"),
+            "sales_date": fault(13, 3, "2021-02-30", "sales_date"),
+            "inventory_quantity": fault(11, 2, "many", "inventory_quantity"),
+            "product_cost": fault(17, 4, "free", "product_cost"),
+            "gdp": F.lit("unknown"),
+            "inflation_rate": F.col("inflation_rate").cast("string"),
+        }
+    )
+
+
+def _cleaned_dirty(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.clean_extract(_dirty_extract(spark, folder))
+
+
+def _dirty_totals(spark: SparkSession, folder: str) -> DataFrame:
+    totals = dashboard.totals_from_extract(_cleaned_dirty(spark, folder))
+    return totals.select(*SKU_KEYS, "num_rows", rollups.units(totals).alias("units"), "num_costs")
+
+
+def _extract_totals(spark: SparkSession, folder: str, params: Params = Params()) -> DataFrame:
+    return dashboard.totals_from_extract(_extract(spark, folder), params)
+
+
+def _extract_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return dashboard.sku_metrics(skus.write_totals(_extract_totals(spark, folder)))
+
+
+def _dirty_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The table checks over tables in which each kind of fault occurs; the sales have a poor key as well."""
+    star = tpch.star(spark, folder).with_written_dimensions()
+    last = F.col("product_id") % 10
+    products = star.products.withColumns(
+        {
+            "product_category": F.when(last != 5, F.col("product_category")),
+            "promotions": F.when(last == 6, "promoted twice").otherwise(F.col("promotions")),
+        }
+    )
+    sales = star.sales.withColumns(
+        {
+            "sales_id": F.when(F.col("product_id") % 4 != 0, F.col("product_id")),
+            "product_id": F.when(last == 2, -F.col("product_id")).when(last != 1, F.col("product_id")),
+            "sales_date": F.when(last != 3, F.col("sales_date")),
+        }
+    )
+    factors = star.factors.withColumn("sales_date", F.when(F.month("sales_date") != 3, F.col("sales_date")))
+    return quality.all_checks(
+        Star(products.unionByName(products.where(last == 4)), sales, factors.unionByName(factors.where(F.month("sales_date") == 2)))
+    )
+
+
+def _action_places(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of each product in the action list, as the rows come."""
+    placed = dense_key(dashboard.action_list(_board_metrics(spark, folder)), "place")
+    return placed.select("place", "Product ID", "Overstock Risk Flag")
+
+
+def _trend_places(spark: SparkSession, folder: str) -> DataFrame:
+    return dense_key(analysis.monthly_trend(tpch.star(spark, folder)), "place").select("place", "product_category", "month_start")
+
+
 def _conflicts(spark: SparkSession, folder: str) -> DataFrame:
     return quality.conflicting_promotions(tpch.raw_products(spark, folder))
 
@@ -248,10 +330,11 @@ QUERIES: dict[str, Query] = {
     "q04_staging_counts": lambda spark, folder: load.staging_counts(*_text_staging(spark, folder)),
     "q05_table_counts": _on_star(lambda star: load.staging_counts(star.products, star.sales, star.factors)),
     "q05_preview_products": _on_star(lambda star: load.preview(star.products, "product_id")),
-    "q05_preview_sales": _on_star(lambda star: load.preview(load.number_sales(star.sales), "sales_id")),
+    "q05_preview_sales": _on_star(lambda star: load.preview_sales(star.sales)),
     "q05_preview_factors": _on_star(lambda star: load.preview(star.factors, "sales_date")),
     "s01_csv_load": _as_is(_csv_load),
     "s06_scan_order_ids": _as_is(_scan_order_ids),
+    "s08_view_by_sql": _as_is(_view_by_sql),
     # joined rows
     "q06_inventory_summary": _on_star(lambda star: analysis.inventory_summary(_numbered(star))),
     "q07_coverage_gap": _on_dates(analysis.coverage_gap),
@@ -288,10 +371,15 @@ QUERIES: dict[str, Query] = {
     ),
     "q12_promotion_impact_eighths": _on(_totals_of, analysis.promotion_impact, quantity=EIGHTHS),
     "q25_category_volatility_eighths": _on(_totals_of, analysis.category_volatility, STDEV, quantity=EIGHTHS),
+    "q23_monthly_trend_eighths": _on(_with_quantity, analysis.monthly_trend, quantity=EIGHTHS),
     "q28_inflation_by_month_eighths": _on(_dates_of, analysis.inflation_by_month, quantity=EIGHTHS),
     "q12_promotion_impact_large": _on(_totals_of, analysis.promotion_impact, quantity=LARGE),
     "q25_category_volatility_large": _on(_totals_of, analysis.category_volatility, {"category_stdev": 0}, quantity=LARGE),
+    "q23_monthly_trend_places": _as_is(_trend_places),
     # dashboard
+    "q29_clean_extract_dirty": _as_is(_cleaned_dirty),
+    "q32_totals_dirty": _as_is(_dirty_totals),
+    "q40_macro_dirty": _on(_cleaned_dirty, dashboard.macro_from_extract, {"Average": 6}),
     "q29_clean_extract": _as_is(_extract),
     "q30_filtered_extract": _as_is(_filtered_rows(FILTERED)),
     "f01_filter_counts": _on(_board_totals, _filter_counts),
@@ -299,6 +387,9 @@ QUERIES: dict[str, Query] = {
     "f03_one_sku": _as_is(_filtered_rows(ONE_SKU)),
     "q31_category_stats": _on(_board_totals, dashboard.category_stats, STDEV),
     "q31_category_stats_filtered": _on(_board_totals, dashboard.category_stats, STDEV, params=FILTERED),
+    "q31_category_stats_extract": _on(_extract_totals, dashboard.category_stats, STDEV),
+    "q31_category_stats_extract_filtered": _on(_extract_totals, dashboard.category_stats, STDEV, params=FILTERED),
+    "q32_sku_metrics_extract": _on(_extract_metrics, _board_skus, METRIC),
     "q32_sku_metrics": _on(_board_metrics, _board_skus, METRIC),
     "q32_sku_metrics_filtered": _on(_board_metrics, _board_skus, METRIC, params=FILTERED),
     "q33_overstock_list": _on(_board_metrics, dashboard.overstock_table, {"Capital Tied Up ($)": 6}),
@@ -317,11 +408,13 @@ QUERIES: dict[str, Query] = {
     "q40_macro_text": lambda spark, folder: dashboard.macro_text(dashboard.macro_from_star(_clean(spark, folder), FILTERED)),
     "q41_action_list": _on(_board_metrics, dashboard.action_list, ACTION),
     "q41_action_list_text": _on(_board_metrics, dashboard.action_list_text),
+    "q41_action_list_places": _as_is(_action_places),
     "q42_action_list_export": _as_is(_exported, ACTION),
     "q43_categories": _on(_board_totals, dashboard.categories),
     "s12_chart_reports": _as_is(_chart_sizes),
     # data quality
     "d01_table_checks": _as_is(_quality),
+    "d01_table_checks_dirty": _as_is(_dirty_checks),
     "d08_rejects": _as_is(_rejects),
     "d09_conflicting_promotions": _as_is(_conflicts),
     "d09_repeated_dates": lambda spark, folder: quality.repeated_dates(tpch.raw_factors(spark, folder)),

@@ -34,7 +34,8 @@ def join_small(
 ) -> DataFrame:
     """Join many rows to a side that is expected to be small, on a key few values of which may be hot.
 
-    ``small`` should be a written table, as it is read once to measure it. Within the limit it is
+    ``small`` is read once to measure it, for which only its texts are needed: it should be a written table or an aggregate
+    over one. Within the limit it is
     broadcast and ``big`` does not move. Beyond it, each key is split over salts taken from ``split_by``,
     so that a key with a third of all rows still spreads over many tasks.
     """
@@ -54,11 +55,14 @@ def with_products(rows: DataFrame, products: DataFrame) -> DataFrame:
     return rows.join(products, "product_id", "inner")
 
 
-def with_factors(rows: DataFrame, factors: DataFrame) -> DataFrame:
+def with_factors(rows: DataFrame, factors: DataFrame, measured: bool = True) -> DataFrame:
     """Sales with the factors of their date; a sale whose date has none keeps nulls.
 
-    ``factors`` should be a written table. It has one row per calendar date.
+    ``factors`` should be a written table. It has one row per calendar date. Without ``measured`` the join is left to Spark, which
+    broadcasts by its own threshold and else splits a hot date.
     """
+    if not measured:
+        return rows.join(factors, "sales_date", "left")
     return join_small(rows, factors, "sales_date", "left", split_by=rows.columns)
 
 

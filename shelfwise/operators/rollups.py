@@ -86,6 +86,13 @@ def mean_units(df: DataFrame) -> Column:
     return exact.mean(units(df), F.col("num_quantities"))
 
 
+def rounded_mean(df: DataFrame, n: Column, places: int) -> Column:
+    """Units over ``n`` as a double, rounded half away from zero once, from the exact total."""
+    scale = ticks_per_unit(df)
+    ticks = F.col("units") if scale == 1 else (F.col("units") * scale).cast(exact.WIDE)
+    return exact.half_up_mean(ticks, n * scale, places).cast("double")
+
+
 def mean_cost() -> Column:
     return exact.mean(F.col("cost"), F.col("num_costs"))
 

@@ -22,12 +22,12 @@ def _whole_mean_units() -> Column:
 # --- joined rows -----------------------------------------------------------------------------------
 
 
-def inventory_summary(star: Star) -> DataFrame:
+def inventory_summary(star: Star, measured: bool = True) -> DataFrame:
     """Every sale with its product and, where the date has any, its external factors.
 
-    Reads written (or stored) dimension tables; see ``Star.with_written_dimensions``.
+    Reads written (or stored) dimension tables; see ``Star.with_written_dimensions``, and ``joins.with_factors`` for ``measured``.
     """
-    joined = joins.with_factors(joins.with_products(star.sales, star.products), star.factors)
+    joined = joins.with_factors(joins.with_products(star.sales, star.products), star.factors, measured)
     return joined.select(*(name for name in EXTRACT_COLUMNS if name in joined.columns))
 
 
@@ -110,19 +110,20 @@ def single_observation_share(star: Star) -> DataFrame:
         F.sum("how_many_products").alias("products"),
         F.coalesce(F.sum(F.when(F.col("num_records") == 1, F.col("how_many_products"))), F.lit(0)).alias("single"),
     )
-    share = exact.round_half_up(F.col("single") * 100 / F.nullif(F.col("products"), F.lit(0)), 1)
+    share = exact.half_up_mean(F.col("single") * 100, F.col("products"), 1).cast("double")
     return sums.withColumn("single_share_pct", share)
 
 
 def monthly_trend(star: Star) -> DataFrame:
     """Transactions, mean quantity and units per category and month; months without sales do not appear."""
-    by_month = rollups.rollup(star.sales, "product_id", F.trunc("sales_date", "MM").alias("month_start"))
-    merged = rollups.merge(joins.with_products(by_month, star.products), "product_category", "month_start")
+    star = star.with_written_products()
+    rows = joins.with_products(star.sales, star.products)
+    merged = rollups.rollup(rows, "product_category", F.trunc("sales_date", "MM").alias("month_start"))
     return merged.select(
         "product_category",
         "month_start",
         F.col("num_rows").alias("num_transactions"),
-        exact.round_half_up(rollups.mean_units(merged), 1).alias("avg_units_per_sale"),
+        rollups.rounded_mean(merged, F.col("num_quantities"), 1).alias("avg_units_per_sale"),
         rollups.units(merged).alias("total_units_moved"),
     ).orderBy("product_category", "month_start")
 
@@ -133,7 +134,7 @@ def turnover_by_category(totals: DataFrame) -> DataFrame:
     merged = rollups.merge(by_product, "product_category")
     result = merged.select(
         "product_category",
-        exact.round_half_up(exact.mean(rollups.units(merged), F.col("num_parts")), 1).alias("avg_units_per_product"),
+        rollups.rounded_mean(merged, F.col("num_parts"), 1).alias("avg_units_per_product"),
         exact.half_up_mean(F.col("cost"), F.col("num_costs"), 2).alias("avg_unit_cost"),
     )
     return result.orderBy(F.desc("avg_units_per_product"), "product_category")

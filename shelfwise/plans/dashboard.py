@@ -117,12 +117,14 @@ def totals_from_star(star: Star, params: Params = Params()) -> DataFrame:
 
 
 def totals_from_extract(extract: DataFrame, params: Params = Params()) -> DataFrame:
-    """Totals of rows joined elsewhere; ``extract`` should be a stored or cached table.
+    """Totals of rows joined elsewhere.
 
-    Over a join still to be run, grouping would keep the join's partitions, and with them a hot product in
-    one task. Start from the base tables there.
+    The keys are grouped as one struct. Over a join still to be run, grouping by the bare product id would keep the join's
+    partitions, and with them a hot product in one task; the struct has an exchange of its own, before which
+    every task adds up its rows, so that Spark may split a hot product in the join.
     """
-    return rollups.rollup(filters.apply(extract, params), *SKU_KEYS)
+    totals = rollups.rollup(filters.apply(extract, params), F.struct(*SKU_KEYS).alias("sku"))
+    return totals.select("sku.*", *(c for c in totals.columns if c != "sku"))
 
 
 # --- statistics ------------------------------------------------------------------------------------
@@ -199,24 +201,21 @@ def top_reorder(metrics: DataFrame, k: int = 10) -> DataFrame:
 # --- time and macro factors ------------------------------------------------------------------------
 
 
-def _trend(rolled: DataFrame) -> DataFrame:
-    merged = rollups.merge(rolled, "product_category", "sales_date")
-    result = merged.select("product_category", "sales_date", rollups.units(merged).alias("inventory_quantity"))
-    return result.orderBy("product_category", "sales_date")
-
-
 def trend_from_star(star: Star, params: Params = Params()) -> DataFrame:
-    """Units per category and month, named by the month's last day; only months with sales appear."""
-    by_month = rollups.rollup(star.sales, "product_id", F.last_day("sales_date").alias("month_end"))
-    joined = filters.apply(joins.with_products(by_month, star.products), params)
-    return _trend(joined.withColumnRenamed("month_end", "sales_date"))
+    """Units per category and month, named by the month's last day; only months with sales appear.
+
+    Most products have few sales a month, so sales are joined row by row: they move once, to the written products.
+    """
+    star = star.with_written_products()
+    return trend_from_extract(joins.with_products(star.sales, star.products), params)
 
 
 def trend_from_extract(extract: DataFrame, params: Params = Params()) -> DataFrame:
     rows = filters.apply(extract, params)
     month_end = F.last_day("sales_date").alias("month_end")
     rolled = rollups.rollup(rows, "product_category", month_end)
-    return _trend(rolled.withColumnRenamed("month_end", "sales_date"))
+    result = rolled.select("product_category", F.col("month_end").alias("sales_date"), rollups.units(rolled).alias("inventory_quantity"))
+    return result.orderBy("product_category", "sales_date")
 
 
 def _macro(rows: DataFrame, weight: Column, columns: Iterable[str]) -> DataFrame:
@@ -238,10 +237,10 @@ def _macro(rows: DataFrame, weight: Column, columns: Iterable[str]) -> DataFrame
 
 
 def macro_from_star(star: Star, params: Params = Params()) -> DataFrame:
-    """Macro figures over the filtered sales, from sales per product and date, then per date."""
-    by_day = star.sales.groupBy("product_id", "sales_date").agg(F.count("*").alias("num_rows"))
-    kept = filters.apply(joins.with_products(by_day, star.products), params)
-    per_date = kept.groupBy("sales_date").agg(F.sum("num_rows").alias("num_rows"))
+    """Macro figures over the filtered sales, counted per date. Sales are joined row by row, as for the trend."""
+    star = star.with_written_products()
+    kept = filters.apply(joins.with_products(star.sales, star.products), params)
+    per_date = kept.groupBy("sales_date").agg(F.count("*").alias("num_rows"))
     dated = per_date.join(star.factors, "sales_date", "left")
     return _macro(dated, F.col("num_rows"), schemas.MACRO_COLUMNS)
 

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfwise import schemas
 from shelfwise.functions import casts, exact, rules
@@ -126,6 +126,12 @@ def preview(table: DataFrame, key: str, rows: int = 5) -> DataFrame:
     return table.orderBy(key).limit(rows)
 
 
+def preview_sales(sales: DataFrame, rows: int = 5) -> DataFrame:
+    """The sales that would be numbered first, with those numbers; the table is not sorted for it."""
+    first = sales.orderBy(*SALES_ORDER).limit(rows)
+    return first.select(F.row_number().over(Window.orderBy(*SALES_ORDER)).cast("bigint").alias("sales_id"), *sales.columns)
+
+
 def load_star(
     products: DataFrame,
     sales: DataFrame,
@@ -139,11 +145,10 @@ def load_star(
     if mode == COERCE:
         listed = star.sales.join(star.products.select("product_id"), "product_id", "left_semi")
         return replace(star, sales=number_sales(listed, order_by))
-    star = replace(star, sales=number_sales(star.sales, order_by))
     unknown = joins.orphans(star.sales, star.products).orderBy("product_id").first()
     if unknown:
         raise LoadError(f"sales of product {unknown['product_id']}, which is not listed")
-    return star
+    return replace(star, sales=number_sales(star.sales, order_by))
 
 
 def save_star(star: Star, folder: str) -> None:
@@ -157,7 +162,7 @@ def open_star(spark: SparkSession, folder: str) -> Star:
     products, sales, factors = (
         spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in schemas.TABLES.items()
     )
-    return Star(products, sales, factors)
+    return Star(products, sales, factors, written=True)
 
 
 def publish(frames: Mapping[str, DataFrame]) -> None:
@@ -167,9 +172,12 @@ def publish(frames: Mapping[str, DataFrame]) -> None:
 
 
 def publish_star(star: Star) -> None:
-    """Register the base tables and the joined view ``inventory_summary`` for SQL."""
+    """Register the base tables and the joined view ``inventory_summary`` for SQL.
+
+    Nothing runs here, and the view holds no choice of join: Spark makes it at each use, for the sizes of that time.
+    """
     publish(dict(zip(schemas.TABLES, (star.products, star.sales, star.factors))))
-    publish({"inventory_summary": analysis.inventory_summary(star)})
+    publish({"inventory_summary": analysis.inventory_summary(star, measured=False)})
 
 
 def drop_views(spark: SparkSession, names: list[str]) -> None:

@@ -44,9 +44,7 @@ def sku_metrics(totals: DataFrame, params: Params = Params(), how: str = "inner"
     category baseline covers exactly the rows in ``totals``, so filters move it.
     """
     stats = category_stats(totals).drop("total_units")
-    joined = joins.join_small(
-        totals, materialise(stats, "category-stats"), "product_category", how, split_by=["product_id"]
-    )
+    joined = joins.join_small(totals, stats, "product_category", how, split_by=["product_id"])
     demand, cost = F.col("sku_demand"), F.col("sku_cost")
     lead_time = params.lead_time_days
     return (

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from __spark_entry__ import SMOKE_FOLDER, entry, oracle_sql, queries
 from check_oracle import connect, difference
 from oracle.sql import ORACLES
+from shelfwise import schemas
 from shelfwise.catalog import QUERIES
+from shelfwise.operators import joins
+from shelfwise.operators.keys import _source_row
+from shelfwise.plans import analysis, dashboard, load
+from shelfwise.sources import tpch
 
 SKEWED = [
     "q01_load_products",
@@ -21,6 +26,12 @@ SKEWED = [
     "q23_monthly_trend",
     "q28_inflation_by_month",
     "q32_sku_metrics_filtered",
+    "q24_monthly_trend_chart",
+    "q31_category_stats_extract",
+    "q32_totals_dirty",
+    "q39_monthly_trend",
+    "q41_action_list_places",
+    "d01_table_checks_dirty",
     "q40_macro_snapshot",
 ]
 
@@ -76,10 +87,49 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["q09_category_velocity", "q18_reorder_points", "q23_monthly_trend", "q32_sku_metrics", "q40_macro_snapshot"])
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plans_stay_native(spark, name):
     plan = plan_of(queries()[name](spark, SMOKE_FOLDER))
-    assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin|Window", plan)
+    assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin", plan)
+    assert "Window" not in plan or name == "q05_preview_sales"  # numbers five rows
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["q23_monthly_trend", "q24_monthly_trend_chart", "q39_monthly_trend", "q40_macro_snapshot"])
+def test_sales_move_once_to_the_products(spark, skewed_folder, no_broadcast, name):
+    """One exchange by product on either side; what follows is added up before it moves."""
+    plan = plan_of(queries()[name](spark, skewed_folder))
+    assert len(re.findall(r"Exchange hashpartitioning\(product_id", plan)) == 2
+    assert not re.search(r"hashpartitioning\(product_id#\d+L?, [a-z_]", plan)
+
+
+def test_extract_totals_have_an_exchange_of_their_own(spark, skewed_folder, no_broadcast):
+    joined = analysis.inventory_summary(tpch.star(spark, skewed_folder).with_written_dimensions(), measured=False)
+    plan = plan_of(dashboard.totals_from_extract(dashboard.clean_extract(joined)))
+    assert "Exchange hashpartitioning(_groupingexpression#" in plan
+
+
+def test_numbering_writes_one_copy(spark, tmp_path):
+    """Rows of a Parquet file are told apart by their place in it; equal rows from elsewhere by numbers written first."""
+    sales = tpch.raw_sales(spark, SMOKE_FOLDER)
+    assert _source_row(sales) is not None and _source_row(spark.createDataFrame([(1,)], "a int")) is None
+    doubled = sales.unionByName(sales)
+    numbered = load.number_sales(doubled)
+    assert numbered.agg(F.count("*"), F.count_distinct("sales_id"), F.max("sales_id")).first() == (2 * sales.count(),) * 3
+
+
+def test_publishing_runs_nothing(spark, monkeypatch):
+    monkeypatch.setattr(joins, "measured_bytes", lambda df: pytest.fail("a job ran"))
+    star = tpch.star(spark, SMOKE_FOLDER)
+    load.publish_star(star)
+    assert "Hint" not in spark.table("inventory_summary")._jdf.queryExecution().analyzed().toString()
+    load.drop_views(spark, [*schemas.TABLES, "inventory_summary"])
 
 
 def test_sales_move_once_on_their_product(spark):
