@@ -401,3 +401,20 @@ def test_pipeline(spark, tables):
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
     assert {d for d in got if len(dict(cleaned)[d]) < 3000} == {d for d, t in cleaned if len(t) < 3000} - leaky
     assert all(r.lossless for r in got.values())
+
+
+def test_network_learns_and_averages_in_tasks(tables, monkeypatch):
+    """The network gains on its start. More tasks than the driver takes weights from are averaged in between, to the same weights."""
+    docs = tables["documents"].select("doc_id", "text")
+    known = recurrent_lm.vocabulary(docs, recurrent_lm.word_counts(docs))
+    texts = [recurrent_lm._ids(recurrent_lm.words(r.text), known) for r in docs.orderBy("doc_id").limit(40).collect()]
+    before = recurrent_lm.Network.start(known).score(texts).sum()
+    assert before < recurrent_lm.fit(docs, known, one_in=2).score(texts).sum() < 0
+
+    task_chars = docs.agg(F.sum(F.length("text"))).first()[0] // 100
+    found = []
+    for limit in (16, 1000):
+        monkeypatch.setattr(recurrent_lm, "AVERAGED", limit)
+        found.append(recurrent_lm.fit(docs, known, one_in=2, rounds=1, task_chars=task_chars).weights())
+    for name, weights in found[0].items():
+        np.testing.assert_allclose(weights, found[1][name], atol=1e-4)
