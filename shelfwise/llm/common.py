@@ -116,13 +116,15 @@ def rows_of(docs: DataFrame, marked: DataFrame, how: str, row_bytes: int = 48) -
     return docs.join(marked, on, how).drop("_id", "_th")
 
 
-#: Rows in an Arrow batch. Texts are long, so that the default of ten thousand would take much memory on both sides.
+#: Rows in an Arrow batch, and in a batch of the Parquet reader. Texts are long, so that the defaults of ten and four thousand
+#: would take much memory.
 ARROW_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the operators in Python need: this package on the workers, sent once, and Arrow batches of ARROW_ROWS."""
+    """What the operators in Python need: this package on the workers, sent once, and batches of ARROW_ROWS."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ARROW_ROWS)
     context = spark.sparkContext
     if getattr(context, "_shelfwise_shipped", False):
         return
