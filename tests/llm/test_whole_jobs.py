@@ -17,3 +17,20 @@ def test_every_training_document_fits_the_network(spark, doc_id):
     assert known.documents == 1
     start, fitted = recurrent_lm.Network.start(known), recurrent_lm.fit(docs, known)
     assert not np.array_equal(start.class_bias, fitted.class_bias)
+
+
+def test_what_the_network_knows_grows_with_the_vocabulary():
+    shares = []
+    for distinct in (9_000, 90_000, 900_000):
+        counts = 1_000_000 // np.arange(1, distinct)
+        known = recurrent_lm.Vocabulary([b"%d" % i for i in range(100_000)][: distinct - 1], counts[:100_000], int(counts.sum()) + 10, distinct, 10)
+        shares.append(known.size)
+    assert shares[0] <= 4_096 < 2 * 4_096 < shares[1] and 3 * shares[1] < shares[2] < 100_000
+    net = recurrent_lm.Network.start(known)
+    state = np.random.default_rng(0).standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32)
+    chances = np.exp(net.log_probability(np.repeat(state, known.side**2, 0), np.arange(known.side**2)))
+    assert abs(chances.sum() - 1) < 1e-3
+    text = [np.array([known.size - 1, known.size - 2] * 50, np.int32)]  # words that were outside before
+    before = net.score(text)[0]
+    net.learn(text)
+    assert net.score(text)[0] > before
