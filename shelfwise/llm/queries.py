@@ -67,7 +67,7 @@ def line_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return substring_dedup.repeated_spans(read(spark, folder, "documents")).drop("th")
+    return substring_dedup.repeated_spans(read(spark, folder, "documents"), by_reach=True).drop("th")
 
 
 def licenses(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,25 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from shelfwise.llm import recurrent_lm
+from shelfwise.llm import recurrent_lm, substring_dedup
+
+# --- 4 ----------------------------------------------------------------------------------------------
+
+
+def test_a_passage_pasted_into_a_line_is_found_by_its_reach(spark):
+    words = [f"w{i}" for i in range(58)]
+    passage = " ".join(words[:24]) + ". Two words. " + " ".join(words[24:30]) + ". Odd. " + " ".join(words[30:]) + "."
+    rows = [
+        (0, "Yes. Odd. So it begins and so it ends."),
+        (1, "Before it stands " + passage),
+        (2, "Quite another start and then " + passage[:-1] + " goes on otherwise."),
+        (3, "I wonder whether anybody at all will come here tonight? Yes. Nobody ever came before, as far as anyone can tell."),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert substring_dedup.repeated_spans(docs).count() == 0
+    found = substring_dedup.repeated_spans(docs, by_reach=True).collect()
+    assert [(r.doc_id, rows[2][1][r.start : r.stop], r.n_words, r.first_doc_id) for r in found] == [(2, "Two words. " + " ".join(words[24:30]) + ". Odd.", 9, 1)]
+
 
 # --- 8 ----------------------------------------------------------------------------------------------
 
