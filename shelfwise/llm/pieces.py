@@ -16,10 +16,11 @@ SPACE = "▁"
 #: Stands for a literal U+2581 while a text is cut into units; no valid text holds it.
 LITERAL = "\udc81"
 DROPOUT = 0.1
-#: A unit at a place of a document takes one of this many segmentations, chosen by a keyed hash.
-VARIANTS = 4
+#: The hash of a document and a place in it has this many values; so its merges are skipped apart from those of all other places.
+VARIANTS = 2**62
 CHUNK_CHARS = 1_000_000
 CACHED_UNITS = 300_000
+PLACES_AT_ONCE = 50_000
 LONG_UNIT = 96
 NONE = np.int64(2**62)
 _LOW = np.int64(2**32 - 1)
@@ -32,11 +33,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _place(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return _mix((start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64))
+
+
+def _key(unit_hash: np.ndarray, variant: np.ndarray, seed: int) -> np.ndarray:
+    return _mix(unit_hash.astype(np.uint64) + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+
+
+def _kept(key: np.ndarray, place: np.ndarray, dropout: float) -> np.ndarray:
+    return (_mix(key ^ place) >> np.uint64(11)) >= np.uint64(dropout * 2**53)
+
+
 def keep_merge(unit_hash: np.ndarray, variant: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, seed: int, dropout: float) -> np.ndarray:
     """Whether the candidate that joins start..mid to mid..end of a unit is kept: a hash keyed by ``seed`` decides."""
-    place = (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-    key = _mix(unit_hash.astype(np.uint64) + variant.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-    return (_mix(key ^ _mix(place)) >> np.uint64(11)) >= np.uint64(dropout * 2**53)
+    return _kept(_key(unit_hash, variant, seed), _place(start, mid, end), dropout)
 
 
 _SLOT_BITS = 19
@@ -149,8 +160,9 @@ class Pieces:
             offer(i)
         return [x for i in range(n) if alive[i] for x in (self.spell(unit[start[i]]) if sym[i] < 0 else [sym[i]])]
 
-    def segment(self, units: list[str], variants: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda for many units at once, one merge of each unit in a round: all ids in a row, and their number by unit."""
+    def segment(self, units: list[str], variants: np.ndarray, seed: int, dropout: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda for many units at once, one merge of each unit in a round: all ids in a row, and their number by unit.
+        The unit and the hashed place of every candidate are added to ``offered``."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(sizes) - sizes
@@ -171,6 +183,8 @@ class Pieces:
             if dropout:
                 ok = keep_merge(names[row[i]], variants[row[i]], start[i], start[i + 1], end[i + 1], seed, dropout)
                 i, found = i[ok], found[ok]
+            if offered is not None:
+                offered.append((row[i], _place(start[i], start[i + 1], end[i + 1])))
             joined[i], cand[i] = found, self.rank[found]
 
         offer(np.arange(len(sym)))
@@ -231,39 +245,49 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts, and keeps the segmentations of the units seen, up to a bound."""
+    """Encodes texts, and keeps the plain segmentations of the units seen, with their candidates, up to a bound. A unit at a place where
+    no candidate of its plain segmentation is skipped takes that one; at all other places it is segmented anew."""
 
     def __init__(self, pieces: Pieces, seed: int, dropout: float, variants: int):
-        self.pieces, self.seed, self.dropout, self.variants = pieces, seed, dropout, variants if dropout else 1
+        self.pieces, self.seed, self.dropout, self.variants = pieces, seed, dropout, variants
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.names: list[str] = []
-        self.at = np.full(1 << 16, -1, np.int64)
-        self.width = np.zeros(1 << 16, np.int32)
-        self.flat = np.zeros(1 << 18, np.int32)
-        self.used = 0
+        self.hashes = np.zeros(0, np.uint64)
+        self.ids, self.places = Rows(np.int32), Rows(np.uint64)
 
     def _variants(self, doc: int, n: int) -> np.ndarray:
-        """Which segmentation each unit of a document takes."""
+        """The hash of each place of a document."""
         own = _mix(np.array([doc & (2**64 - 1)], np.uint64) ^ np.uint64(self.seed))
         return _mix(own + np.arange(n, dtype=np.uint64)) % np.uint64(self.variants)
 
-    def _learn(self, keys: np.ndarray) -> None:
-        units, variants = [self.names[i] for i in (keys // self.variants).tolist()], keys % self.variants
+    def _segment(self, units: list[str], variants: np.ndarray, dropout: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their number by unit; long units go through the plain agenda one by one, unless their candidates are asked for."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        long, short = np.flatnonzero(sizes > LONG_UNIT), np.flatnonzero(sizes <= LONG_UNIT)
-        for places, (ids, widths) in (
-            (short, self.pieces.segment([units[i] for i in short], variants[short].astype(np.uint64), self.seed, self.dropout)),
-            (long, _joined([self.pieces.agenda(units[i], int(variants[i]), self.seed, self.dropout) for i in long])),
-        ):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[keys[places]] = self.used + np.cumsum(widths) - widths
-            self.width[keys[places]] = widths
-            self.used += len(ids)
+        long = np.flatnonzero(sizes > LONG_UNIT)
+        if not len(long) or offered is not None:
+            return self.pieces.segment(units, variants, self.seed, dropout, offered)
+        short = np.flatnonzero(sizes <= LONG_UNIT)
+        ids, widths = self.pieces.segment([units[i] for i in short], variants[short], self.seed, dropout)
+        more, wide = _joined([self.pieces.agenda(units[i], int(variants[i]), self.seed, dropout) for i in long])
+        ids, widths, order = np.concatenate([ids, more]), np.concatenate([widths, wide]), np.argsort(np.concatenate([short, long]))
+        return _take(ids, np.cumsum(widths) - widths, widths, order), widths[order]
+
+    def _learn(self, units: list[str]) -> None:
+        """Plain segmentations of new units. Long units have no candidates here: at a place they are always segmented."""
+        self.names += units
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.hashes = np.concatenate([self.hashes, unit_name(codes, np.cumsum(sizes) - sizes)])
+        offered: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout else None
+        rows = np.flatnonzero((sizes <= LONG_UNIT) | (not self.dropout))
+        ids, widths = self._segment([units[i] for i in rows], np.zeros(len(rows), np.uint64), 0.0, offered)
+        self.ids.add(ids, np.bincount(rows, weights=widths, minlength=len(units)).astype(np.int64))
+        if self.dropout:
+            row, place = (np.concatenate([o[k] for o in offered]) for k in (0, 1))
+            self.places.add(place[np.argsort(row, kind="stable")], np.bincount(rows[row], minlength=len(units)))
 
     def encode(self, docs: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number by text."""
@@ -271,24 +295,53 @@ class Encoder:
             self.clear()
         split = [units_of(t) for t in texts]
         units = [u for part in split for u in part]
-        for unit in set(units).difference(self.index):
-            self.index[unit] = len(self.names)
-            self.names.append(unit)
-        need = len(self.index) * self.variants
-        while need > len(self.at):
-            self.at = np.concatenate([self.at, np.full_like(self.at, -1)])
-            self.width = np.concatenate([self.width, np.zeros_like(self.width)])
-        uid = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
-        variant = [self._variants(d, len(part)) for d, part in zip(docs, split)] if self.variants > 1 else []
-        key = uid * self.variants + (np.concatenate(variant).astype(np.int64) if variant else 0)
-        new = np.unique(key[self.at[key] < 0])
-        if len(new):
+        new = list(set(units).difference(self.index))
+        if new:
+            self.index.update(zip(new, range(len(self.names), len(self.names) + len(new))))
             self._learn(new)
-        width = self.width[key].astype(np.int64)
-        last = np.cumsum(width)
-        ids = self.flat[np.repeat(self.at[key] - last + width, width) + np.arange(last[-1] if len(last) else 0)]
+        uid = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        first, width = self.ids.first[uid], self.ids.width[uid].astype(np.int64)
+        ids = self.ids.flat
+        if self.dropout and len(units):
+            variants = np.concatenate([self._variants(d, len(part)) for d, part in zip(docs, split)])
+            anew = np.fromiter((len(u) > LONG_UNIT for u in units), bool, len(units))
+            key = _key(self.hashes[uid], variants, self.seed)
+            for begin in range(0, len(units), PLACES_AT_ONCE):
+                part = slice(begin, begin + PLACES_AT_ONCE)
+                count = self.places.width[uid[part]]
+                place = _take(self.places.flat, self.places.first, self.places.width, uid[part])
+                row = np.repeat(np.arange(begin, begin + len(count)), count)
+                anew[row[~_kept(key[row], place, self.dropout)]] = True
+            again = np.flatnonzero(anew)
+            if len(again):
+                more, wide = self._segment([units[i] for i in again.tolist()], variants[again], self.dropout)
+                first[again], width[again] = self.ids.used + np.cumsum(wide) - wide, wide
+                ids = np.concatenate([ids[: self.ids.used], more])
         doc = np.repeat(np.arange(len(texts)), [len(part) for part in split])
-        return ids, np.bincount(doc, weights=width, minlength=len(texts)).astype(np.int64)
+        return _take(ids, first, width, slice(None)), np.bincount(doc, weights=width, minlength=len(texts)).astype(np.int64)
+
+
+class Rows:
+    """Rows of numbers, one after another in ``flat``."""
+
+    def __init__(self, kind: type):
+        self.flat, self.used = np.zeros(1 << 16, kind), 0
+        self.first, self.width = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, values: np.ndarray, widths: np.ndarray) -> None:
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(values)] = values
+        self.first = np.concatenate([self.first, self.used + np.cumsum(widths, dtype=np.int64) - widths])
+        self.width = np.concatenate([self.width, widths.astype(np.int32)])
+        self.used += len(values)
+
+
+def _take(flat: np.ndarray, first: np.ndarray, width: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+    """The values of ``rows`` in a row."""
+    first, width = first[rows], width[rows].astype(np.int64)
+    last = np.cumsum(width)
+    return flat[np.repeat(first - last + width, width) + np.arange(last[-1] if len(last) else 0)]
 
 
 @lru_cache(maxsize=2)
@@ -328,9 +381,9 @@ def _encoded(batches: Iterator[tuple[pa.Array, pa.Array]], encoder: Encoder) ->
 
 
 def piece_ids(doc_id: Column, text: Column, proto: bytes, *, seed: int = 0, dropout: float = DROPOUT, variants: int = VARIANTS) -> Column:
-    """Ids of a text. A unit (a word and the spaces before it) at each place of a document takes one of
-    ``variants`` segmentations, chosen by a hash of seed, document and place. In each, a candidate merge is skipped with
-    the probability ``dropout``, by a hash of seed, variant, unit and place; ``dropout=0`` gives the plain encoding.
+    """Ids of a text. At each place of a document, a candidate merge of its unit (a word and the spaces before it) is skipped with
+    the probability ``dropout``, by a hash of seed, document, place, unit and the candidate's place in it; ``dropout=0`` gives the plain encoding.
+    ``variants`` bounds the number of segmentations of a unit.
 
     Null and empty texts have no ids; a null doc_id counts as 0. A literal U+2581 is spelt in bytes, so that it survives.
     """

@@ -5,7 +5,27 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from shelfwise.llm import recurrent_lm, substring_dedup
+from shelfwise.llm import pieces, queries, recurrent_lm, substring_dedup
+
+# --- 2 ----------------------------------------------------------------------------------------------
+
+
+def test_a_unit_is_segmented_apart_at_every_place():
+    model = pieces.load(queries.piece_model())
+    unit = pieces.units_of("consideration")[0]
+    encoder = pieces.Encoder(model, queries.PIECE_SEED, pieces.DROPOUT, pieces.VARIANTS)
+    texts = [" ".join(["consideration"] * 1000)] * 2
+    ids, widths = encoder.encode([1, 2], texts)
+    places = [[model.agenda(unit, int(v), queries.PIECE_SEED, pieces.DROPOUT) for v in encoder._variants(d, 1000)] for d in (1, 2)]
+    assert ids.tolist() == [x for rows in places for row in rows for x in row]
+    plain = model.agenda(unit, 0, queries.PIECE_SEED, 0)
+    assert len({tuple(row) for rows in places for row in rows}) > 4 and places[0] != places[1]
+    long = pieces.units_of("consideration " + "ofthesum" * 40)
+    for text, units in (("consideration " + "ofthesum" * 40, long), ("ofthesum" * 40, long[1:])):
+        want = [x for u, v in zip(units, encoder._variants(3, len(units))) for x in model.agenda(u, int(v), queries.PIECE_SEED, pieces.DROPOUT)]
+        assert pieces.Encoder(model, queries.PIECE_SEED, pieces.DROPOUT, pieces.VARIANTS).encode([3], [text])[0].tolist() == want
+    assert 0.2 < np.mean([row == plain for rows in places for row in rows]) < 0.9
+
 
 # --- 4 ----------------------------------------------------------------------------------------------
 
