@@ -19,8 +19,8 @@ BLOCK_BITS = 2
 CONTENT = ["c1", "c2"]
 
 
-def _hashes(words: Column) -> Column:
-    return shingles(words, SHINGLE_WORDS, F.xxhash64)
+def _hashes(words: Column, size: int = SHINGLE_WORDS) -> Column:
+    return shingles(words, size, F.xxhash64)
 
 
 def _texts(words: Column) -> Column:
@@ -68,11 +68,14 @@ def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     A window as long as an item and similar to it holds at least SIMILARITY of the item's shingles. It can be shifted to
     begin at a shared shingle without losing one. So the windows are those that begin at a shared
     shingle and have enough shared positions; others are below the threshold for certain. At the end of a document they are shorter.
+    An item of under SHINGLE_WORDS words is one shingle of its own length, and so are the runs of that length in the documents.
     """
     seeds = items.select("item_id", F.explode(_hashes(F.col("words"))).alias("h")).distinct()
     seeds = materialise(seeds, "item-shingles")
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     at = split.select("doc_id", "th", F.posexplode(_hashes(F.col("words"))).alias("pos", "h"))
+    for row in items.where(F.col("size") < SHINGLE_WORDS).select("size").distinct().collect():
+        at = at.unionByName(split.select("doc_id", "th", F.posexplode(_hashes(F.col("words"), row["size"])).alias("pos", "h")))
     hits = join_measured(at, seeds, ["h"], "inner", row_bytes=32, spread=F.col("th"))
     found = hits.groupBy("doc_id", "th", "item_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     need = F.ceil(F.lit(SIMILARITY) * F.col("m")).cast("int")

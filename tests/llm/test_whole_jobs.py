@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from shelfwise.llm import pieces, queries, recurrent_lm, substring_dedup
+from shelfwise.llm import decontaminate, pieces, queries, recurrent_lm, substring_dedup
 
 # --- 2 ----------------------------------------------------------------------------------------------
 
@@ -72,3 +72,13 @@ def test_what_the_network_knows_grows_with_the_vocabulary():
     before = net.score(text)[0]
     net.learn(text)
     assert net.score(text)[0] > before
+
+
+# --- 10 ---------------------------------------------------------------------------------------------
+
+
+def test_short_items_are_found_inside_longer_texts(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "none of them stands in here"), (3, "Three FOUR")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "three four"), (2, "six"), (3, "four five six seven"), (4, "five four")], "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.start) for r in decontaminate.contaminated(docs, items).collect()}
+    assert found == {(1, 1, 2), (1, 2, 5), (1, 3, 3), (3, 1, 0)}
