@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfwise.llm import (
-    decontaminate, license_scan, line_dedup, pieces, quality_trees, recurrent_lm, repetition, simhash, substring_dedup, url_filter,
+    decontaminate, lexical_search, license_scan, line_dedup, mixing, pieces, quality_trees, recurrent_lm, repetition, simhash, spelling,
+    substring_dedup, url_filter,
 )
 from shelfwise.llm.common import prepare
 from shelfwise.llm.sql import ORACLES  # noqa: F401
@@ -96,6 +97,22 @@ def leaks(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("th")
 
 
+def mix(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each document: the copies of a unit's rows are dealt over them."""
+    units = mixing.mixture(read(spark, folder, "documents").select("doc_id", "source", "text"))
+    each = units.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    copies = F.expr("copies div rows") + (F.col("row") <= F.col("copies") % F.col("rows")).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
+
+
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": url_verdicts,
     "op2_sentencepiece": pieces_query,
@@ -107,4 +124,7 @@ QUERIES = {
     "op8_lm_scoring": lm_scores,
     "op9_quality_rules": repetition_rules,
     "op10_benchmark_decontamination": leaks,
+    "op11_source_mixing": mix,
+    "op12_lexical_search": ranked_documents,
+    "op13_spelling_variants": spelling_variants,
 }

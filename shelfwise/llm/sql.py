@@ -77,4 +77,26 @@ SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x:
 FROM split LEFT JOIN dups USING (n) LEFT JOIN covered USING (n)
 """
 
-ORACLES = {"op1_url_filters": URL_FILTERS, "op3_line_dedup": LINE_DEDUP}
+_TERMS = f"regexp_extract_all({_fold('text')}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+full_docs AS (SELECT d, doc_id, terms, len(terms) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS N_docs, sum(n)::BIGINT AS L FROM full_docs),
+items AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS terms FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT i, item_id, unnest(terms) AS term FROM items),
+tfs AS (
+  SELECT d, doc_id, n, term, count(*) AS tf FROM (SELECT d, doc_id, n, unnest(terms) AS term FROM full_docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * N_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, totals GROUP BY term, N_docs),
+impacts AS (
+  SELECT d, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * N_docs) // L)))) AS impact
+  FROM tfs JOIN weights USING (term), totals),
+scored AS (SELECT i, item_id, d, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 50
+"""
+
+ORACLES = {"op1_url_filters": URL_FILTERS, "op3_line_dedup": LINE_DEDUP, "op12_lexical_search": LEXICAL_SEARCH}
