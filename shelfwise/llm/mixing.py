@@ -18,7 +18,7 @@ SHARE = 1.0
 SEED = 11
 #: Documents that one flight takes together.
 BLOCK = 512
-#: Documents that a source's last flight leaves to the landing, which tries all outcomes.
+#: Documents that a flight leaves open: to the next level, or in a source's last flight to the landing, which tries all outcomes.
 LANDING = 12
 #: Probabilities nearer to 0 or 1 than this are settled.
 SETTLED = 1e-9
@@ -107,14 +107,13 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         p[nearest], error = 1 - p[nearest], turned[nearest]
 
 
-def _flown(table: pa.Table) -> pa.Table:
-    """One group's flight: largest documents first. The last group of a source lands as well."""
+def _flown(table: pa.Table, block: int) -> pa.Table:
+    """One group's flight: largest documents first, so that small ones stay open. The last group of a source lands as well."""
     size, draws = table["size"].to_numpy().astype(float), table["draw"].to_numpy()
     order = np.lexsort((draws, -size))
     p = table["p"].to_numpy()[order]
-    last = table["last"][0].as_py()
-    p = fly(p, size[order], draws[order], leave=LANDING if last else 0)
-    if last:
+    p = fly(p, size[order], draws[order], leave=min(LANDING, block // 4))
+    if table["last"][0].as_py():
         p = land(p, size[order])
     out = np.empty(len(p))
     out[order] = p
@@ -177,8 +176,8 @@ def mixture(
     One row for each distinct (doc_id, source, text): doc_id, source, th (hash of the text), rows (how many rows are equal in these), size (words of the text),
     source_size, target (of the source, in words) and copies, which counts all copies of these rows. Every row is taken as often as its source's target
     goes into its size, less the fraction; the fraction is a probability, and the cube method settles it so that the words and the documents of each source
-    stay in balance. Sources are dealt into groups of about ``block`` documents. A group's flight leaves two documents open at most;
-    these are dealt anew, until one group of a source is left, which leaves LANDING open and lands. Equal inputs and seeds give equal mixes.
+    stay in balance. Sources are dealt into groups of about ``block`` documents. A group's flight leaves LANDING documents open at most;
+    these are dealt anew, until one group of a source is left, which lands. Equal inputs and seeds give equal mixes.
 
     Null and empty texts have size 0. A null source is a source, a null id an id. Of repeated rows, whole copies go to all alike and one row at most is drawn. Documents of
     equal size differ only by their key. An empty table gives an empty table. Other columns play no part.
@@ -211,7 +210,7 @@ def mixture(
         dealt = dealt.withColumns(
             {"group": F.pmod(F.xxhash64(F.lit(len(done)), "draw"), F.col("groups")), "last": F.col("groups") == 1}
         ).drop("groups")
-        flown = materialise(dealt.groupBy("key", "group").applyInArrow(_flown, dealt.schema), "flown").drop("group", "last")
+        flown = materialise(dealt.groupBy("key", "group").applyInArrow(lambda table: _flown(table, block), dealt.schema), "flown").drop("group", "last")
         done.append(flown.where(~open_units))
         todo = flown
     result = done[0]
