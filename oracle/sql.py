@@ -528,3 +528,40 @@ poor_factors AS (
 UNION ALL SELECT 'sales_data: repeated sales_id', 0, COUNT(*) AS a, a = 0
     FROM (SELECT sales_id FROM poor_sales WHERE sales_id IS NOT NULL GROUP BY sales_id HAVING COUNT(*) > 1)
 UNION ALL SELECT 'sales_data: missing sales_id', 0, COUNT(*) - COUNT(sales_id) AS a, a = 0 FROM poor_sales"""
+
+# --- the versioned store ---
+
+ORACLES["s04_rebuilt_twice"] = f"""{TABLES}
+SELECT 'product_information' AS tbl, COUNT(*) AS row_count, CAST(NULL AS BIGINT) AS units, CAST(NULL AS BIGINT) AS last_id, 2 AS version FROM products
+UNION ALL SELECT 'sales_data', COUNT(*), CAST(SUM(inventory_quantity) AS BIGINT), COUNT(*), 2 FROM sales
+UNION ALL SELECT 'external_factors', COUNT(*), NULL, NULL, 2 FROM factors"""
+IN_TWO_LOADS = TABLES.replace(
+    "ORDER BY product_id, sales_date", "ORDER BY sales_date >= DATE '1996-01-01', product_id, sales_date"
+)
+ORACLES["s06_ids_go_on"] = f"{IN_TWO_LOADS} SELECT {SALES_COLUMNS} FROM numbered"
+ORACLES["q06_summary_of_months"] = f"""{IN_TWO_LOADS}
+SELECT {SUMMARY_COLUMNS} FROM summary WHERE sales_date BETWEEN DATE '1995-12-01' AND DATE '1996-02-29'"""
+for _name in ("q18_reorder_points", "q23_monthly_trend", "q39_monthly_trend"):
+    ORACLES[f"{_name}_refreshed"] = ORACLES[_name]
+
+# --- what leaves no rows otherwise ---
+
+ORACLES["q15_season_places"] = f"""WITH bands AS ({ORACLES["q15_season_chart"]})
+SELECT ROW_NUMBER() OVER (ORDER BY CASE season_band WHEN 'Low Season' THEN 0 WHEN 'Normal' THEN 1 ELSE 2 END) AS place, season_band, num_records
+FROM bands"""
+ORACLES["s09_views_after_load"] = f"""{TABLES}
+SELECT 'product_information' AS view_name, COUNT(*) AS row_count FROM products
+UNION ALL SELECT 'sales_data', COUNT(*) FROM sales
+UNION ALL SELECT 'external_factors', COUNT(*) FROM factors
+UNION ALL SELECT 'inventory_summary', COUNT(*) FROM summary"""
+ORACLES["d05_required_columns"] = f"""{TABLES}
+SELECT "check", CAST(0 AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual, actual = 0 AS ok, (SELECT COUNT(*) FROM summary) AS row_count
+FROM (VALUES ('extract: missing columns', 0), ('poor_extract: missing columns', 2)) AS t("check", actual)"""
+_CHOICES = (("everything", "TRUE", 0.5), ("combined", FILTERED, 0.65), ("unknown_category", "FALSE", 0.5), ("no_category", "FALSE", 0.5))
+ORACLES["d10_rows_left"] = " UNION ALL ".join(
+    "SELECT * FROM (" + board(
+        f"""SELECT '{name}' AS choice, COUNT(*) > 0 AS has_rows, COUNT(*) FILTER (WHERE is_overstock) AS flagged_skus,
+       (SELECT CAST(COALESCE(SUM(inventory_quantity), 0) AS DOUBLE) FROM extract) AS units_analyzed FROM sku""", where, ratio,
+    ) + ")"
+    for name, where, ratio in _CHOICES
+)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -17,7 +19,7 @@ from shelfwise.operators import filters, rollups
 from shelfwise.operators.keys import dense_key
 from shelfwise.operators.rollups import SKU_KEYS
 from shelfwise.params import Params
-from shelfwise.plans import analysis, charts, dashboard, load, quality, skus
+from shelfwise.plans import analysis, charts, dashboard, load, quality, skus, storage
 from shelfwise.sources import csv, sinks, tpch
 from shelfwise.star import Star
 from shelfwise.workspace import new_path
@@ -275,6 +277,104 @@ def _filtered_rows(params: Params) -> Query:
     return lambda spark, folder: filters.apply(_extract(spark, folder), params)
 
 
+# --- the versioned store ---------------------------------------------------------------------------
+
+SECOND_LOAD = date(1996, 1, 1)
+
+
+def _halves(spark: SparkSession, folder: str) -> tuple[Star, Star]:
+    """The star parted by date: products come with their first sale."""
+    star = tpch.star(spark, folder).with_written_dimensions()
+    early = F.col("sales_date") < F.lit(SECOND_LOAD)
+    sold = star.sales.where(early).select("product_id").distinct()
+
+    def half(how: str, kept: Column) -> Star:
+        return Star(star.products.join(sold, "product_id", how), star.sales.where(kept), star.factors.where(kept), written=True)
+
+    return half("left_semi", early), half("left_anti", ~early)
+
+
+def _two_loads(spark: SparkSession, folder: str) -> storage.Store:
+    first, second = _halves(spark, folder)
+    home = new_path(spark, "store")
+    storage.rebuild(first, home)
+    return storage.append(second, home)
+
+
+def _rebuilt_twice(spark: SparkSession, folder: str) -> DataFrame:
+    """Two rebuilds, and a third that dies when products and factors have been written; then what a reader finds."""
+    home = new_path(spark, "store")
+    star = tpch.star(spark, folder).with_written_dimensions()
+    storage.rebuild(replace(star, sales=star.sales.where(F.col("product_id") % 2 == 0)), home)
+    storage.rebuild(star, home)
+    broken = star.sales.withColumn("inventory_quantity", F.when(F.col("product_id") > 0, F.raise_error(F.lit("cut off")).cast("int")))
+    try:
+        storage.rebuild(replace(star, products=star.products.where("product_id % 3 = 0"), sales=broken), home)
+    except Exception as error:
+        if "cut off" not in str(error) and not isinstance(error, load.LoadError):
+            raise
+    found = storage.open_store(spark, home)
+    counts = load.staging_counts(found.products, found.sales(), found.factors)
+    units = found.sales().agg(F.sum("inventory_quantity").alias("units"), F.max("sales_id").alias("last_id"))
+    both = counts.unionByName(units.withColumn("tbl", F.lit("sales_data")), allowMissingColumns=True)
+    return both.groupBy("tbl").agg(*(F.max(c).alias(c) for c in both.columns if c != "tbl")).withColumn("version", F.lit(found.number))
+
+
+def _numbered_by_load(spark: SparkSession, folder: str) -> DataFrame:
+    return _two_loads(spark, folder).sales().drop("month", "hot")
+
+
+def _from_store(plan: Callable[[storage.Store], DataFrame], rounding: dict[str, int] | None = None) -> Query:
+    return lambda spark, folder: comparable(plan(_two_loads(spark, folder)), rounding)
+
+
+def _reorder_from_store(store: storage.Store) -> DataFrame:
+    return analysis.reorder_points(skus.sku_metrics(skus.write_totals(storage.sku_totals(store))))
+
+
+def _one_quarter(store: storage.Store) -> DataFrame:
+    return storage.inventory_summary(store, date(1995, 12, 1), date(1996, 2, 29))
+
+
+# --- rows on what leaves no rows otherwise ---------------------------------------------------------
+
+
+def _season_places(spark: SparkSession, folder: str) -> DataFrame:
+    chart = analysis.season_chart(analysis.sales_by_date(tpch.star(spark, folder)))
+    return dense_key(chart, "place").select("place", "season_band", "num_records")
+
+
+def _views_after_load(spark: SparkSession, folder: str) -> DataFrame:
+    """Which views are left when a load has published its tables and dropped its staging, and what they hold."""
+    staged = dict(zip(("staging_products", "staging_sales", "staging_factors"), _text_staging(spark, folder)))
+    load.publish(staged)
+    load.publish_star(load.load_star(*(spark.table(name) for name in staged)))
+    load.drop_views(spark, list(staged))
+    left = [name for name in (*staged, *schemas.TABLES, "inventory_summary") if spark.catalog.tableExists(name)]
+    sizes = [spark.table(name).agg(F.lit(name).alias("view_name"), F.count("*").alias("row_count")) for name in left]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+def _column_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Required columns of the extract as it is, and of one without two of them; with the rows that both would have."""
+    extract = analysis.inventory_summary(tpch.star(spark, folder).with_written_dimensions())
+    frames = {"extract": extract, "poor_extract": extract.drop("product_category", "sales_date", "gdp")}
+    checks = quality.column_checks(frames, dict.fromkeys(frames, schemas.REQUIRED_COLUMNS))
+    return checks.crossJoin(F.broadcast(extract.agg(F.count("*").alias("row_count"))))
+
+
+def _row_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each choice of filters leaves any row of the joined extract, and what its figures are then."""
+    totals = skus.write_totals(_board_totals(spark, folder))
+    choices = {"everything": Params(), "combined": FILTERED, "unknown_category": Params(categories=("NONE SUCH",)), "no_category": Params(categories=())}
+    parts = []
+    for name, params in choices.items():
+        kept = filters.apply(totals, params)
+        figures = dashboard.kpis(dashboard.sku_metrics(kept, params), params)
+        parts.append(figures.select(F.lit(name).alias("choice"), F.lit(quality.has_rows(kept)).alias("has_rows"), "flagged_skus", "units_analyzed"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- the registry ----------------------------------------------------------------------------------
 
 STDEV = {"category_stdev": 6}
@@ -412,6 +512,18 @@ QUERIES: dict[str, Query] = {
     "q42_action_list_export": _as_is(_exported, ACTION),
     "q43_categories": _on(_board_totals, dashboard.categories),
     "s12_chart_reports": _as_is(_chart_sizes),
+    # the versioned store
+    "s04_rebuilt_twice": _as_is(_rebuilt_twice),
+    "s06_ids_go_on": _as_is(_numbered_by_load),
+    "q06_summary_of_months": _from_store(_one_quarter),
+    "q18_reorder_points_refreshed": _from_store(_reorder_from_store, REORDER),
+    "q23_monthly_trend_refreshed": _from_store(storage.monthly_trend),
+    "q39_monthly_trend_refreshed": _from_store(storage.month_end_trend),
+    # what leaves no rows otherwise
+    "q15_season_places": _as_is(_season_places),
+    "s09_views_after_load": _as_is(_views_after_load),
+    "d05_required_columns": _as_is(_column_checks),
+    "d10_rows_left": _as_is(_row_checks),
     # data quality
     "d01_table_checks": _as_is(_quality),
     "d01_table_checks_dirty": _as_is(_dirty_checks),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfwise.workspace import materialise
@@ -15,15 +14,15 @@ PLACE_BITS = 33
 
 def _source_row(df: DataFrame) -> Column | None:
     """A hash of the file and the row within it that each row was read from; None unless ``df`` comes from one Parquet scan."""
-    try:
-        known = df.select("_metadata").schema["_metadata"].dataType.names
-    except AnalysisException:
+    offered = df._jdf.queryExecution().analyzed().metadataOutput()
+    if "_metadata" not in {offered.apply(i).name() for i in range(offered.size())}:
         return None
+    known = df.select("_metadata").schema["_metadata"].dataType.names
     return F.xxhash64("_metadata.file_path", "_metadata.row_index") if "row_index" in known else None
 
 
-def dense_key(df: DataFrame, name: str, order_by: list[str] | None = None) -> DataFrame:
-    """Add ``name`` = 1..n.
+def dense_key(df: DataFrame, name: str, order_by: list[str] | None = None, first: int = 1) -> DataFrame:
+    """Add ``name`` = ``first``, ``first`` + 1 and so on, without a gap.
 
     With ``order_by`` numbers follow a range-partitioned sort and are the same on each run. Equal rows may
     be many, so a last sort key spreads them over partitions. It must be the same when it is made anew after the loss of an
@@ -42,11 +41,11 @@ def dense_key(df: DataFrame, name: str, order_by: list[str] | None = None) -> Da
     placed = materialise(rows.withColumns({"_part": F.spark_partition_id(), "_place": place}), name)
 
     counts = sorted(placed.groupBy("_part").count().collect())
-    before = [0, *accumulate(row["count"] for row in counts)]
+    before = accumulate((row["count"] for row in counts), initial=first)
     starts = [(row["_part"], start) for row, start in zip(counts, before)]
     offsets = df.sparkSession.createDataFrame(starts, "_part int, _start bigint")
     return (
         placed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, F.col("_start") + F.col("_place") + 1)
+        .withColumn(name, F.col("_start") + F.col("_place"))
         .select(name, *df.columns)
     )

@@ -118,7 +118,11 @@ def monthly_trend(star: Star) -> DataFrame:
     """Transactions, mean quantity and units per category and month; months without sales do not appear."""
     star = star.with_written_products()
     rows = joins.with_products(star.sales, star.products)
-    merged = rollups.rollup(rows, "product_category", F.trunc("sales_date", "MM").alias("month_start"))
+    return trend(rollups.rollup(rows, "product_category", F.trunc("sales_date", "MM").alias("month_start")))
+
+
+def trend(merged: DataFrame) -> DataFrame:
+    """The trend from totals per category and ``month_start``."""
     return merged.select(
         "product_category",
         "month_start",

@@ -93,9 +93,9 @@ def load_sales(staging: DataFrame, mode: str = STRICT) -> DataFrame:
     return _typed(staging, "sales", mode, ["product_id", "sales_date"]).select(*SALES_ORDER)
 
 
-def number_sales(sales: DataFrame, order_by: list[str] | None = SALES_ORDER) -> DataFrame:
-    """Sales with ``sales_id`` 1..n: the same on each load by default, or in scan order for ``order_by=None``."""
-    return dense_key(sales, "sales_id", order_by)
+def number_sales(sales: DataFrame, order_by: list[str] | None = SALES_ORDER, first: int = 1) -> DataFrame:
+    """Sales with ``sales_id`` from ``first`` on: the same on each load by default, or in scan order for ``order_by=None``."""
+    return dense_key(sales, "sales_id", order_by, first)
 
 
 def load_factors(staging: DataFrame, mode: str = STRICT) -> DataFrame:
