@@ -544,6 +544,47 @@ SELECT {SUMMARY_COLUMNS} FROM summary WHERE sales_date BETWEEN DATE '1995-12-01'
 for _name in ("q18_reorder_points", "q23_monthly_trend", "q39_monthly_trend"):
     ORACLES[f"{_name}_refreshed"] = ORACLES[_name]
 
+# --- files with bad lines, a written extract, approximate counts, all sliders ---
+
+ORACLES["d08_nine_bad_lines"] = f"""{TABLES}, few AS (SELECT n_nationkey AS key, n_name FROM nation WHERE n_nationkey < 4)
+SELECT 'product_information' AS tbl, CAST(NULL AS VARCHAR) AS fault, CAST(NULL AS VARCHAR) AS line, COUNT(*) AS num_rows FROM products
+UNION ALL SELECT 'sales_data', NULL, NULL, COUNT(*) FROM sales
+UNION ALL SELECT 'external_factors', NULL, NULL, COUNT(*) FROM factors
+UNION ALL SELECT 'products', 'product_id', 'P' || key || ',' || n_name || ',No', 1 FROM few WHERE key % 2 = 0
+UNION ALL SELECT 'sales', 'sales_date, inventory_quantity', r_regionkey || ',30/02/2021,x,1.5', 1 FROM region
+UNION ALL SELECT 'factors', 'fields', key || ',' || n_name, 1 FROM few WHERE key % 2 = 1"""
+ORACLES["d08_eleven_bad_lines"] = """
+SELECT (SELECT COUNT(*) FROM lineitem) AS rows_offered, (SELECT COUNT(*) FROM region) + COUNT(*) AS bad_lines, 0 AS versions
+FROM nation WHERE n_nationkey < 6"""
+ORACLES["s10_extract_snapshot"] = f"""{TABLES}
+SELECT COUNT(*) AS row_count, CAST(SUM(inventory_quantity) AS BIGINT) AS units, COUNT(gdp) AS with_gdp,
+       COUNT(*) > 0 AS has_rows, COUNT(*) FILTER (WHERE product_category = 'NONE SUCH') = 0 AS none_left, '1-1-2' AS versions
+FROM summary"""
+ORACLES["q27_turnover_estimate"] = f"SELECT *, TRUE AS is_near, TRUE AS same_cost FROM ({ORACLES['q27_turnover_by_category']})"
+ORACLES["q35_data_summary_estimate"] = f"SELECT *, TRUE AS same_rest, TRUE AS is_near FROM ({ORACLES['q35_data_summary']})"
+
+
+def kpi_grid(where: str, categories: str) -> str:
+    """Every stop of the three sliders; ``where`` moves the baselines, ``categories`` only chooses among them."""
+    return board(
+        f""", ratios AS (SELECT unnest(range(20, 81, 5)) / 100 AS overstock_ratio),
+steps AS (
+    SELECT overstock_ratio,
+           {rounded("COALESCE(SUM(CAST(capital_tied_up AS DECIMAL(28,6))) FILTER (WHERE sku_demand < avg_demand * overstock_ratio), 0)", 2)} AS capital_at_risk,
+           COUNT(*) FILTER (WHERE sku_demand < avg_demand * overstock_ratio) AS flagged_skus
+    FROM sku CROSS JOIN ratios WHERE {categories} GROUP BY overstock_ratio
+)
+SELECT overstock_ratio, capital_at_risk, flagged_skus,
+       (SELECT CAST(COALESCE(SUM(inventory_quantity), 0) AS DOUBLE) FROM extract WHERE {categories}) AS units_analyzed, service_level, lead_time_days
+FROM steps CROSS JOIN (VALUES ('90%'), ('95%'), ('99%')) AS l(service_level)
+CROSS JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS lead_time_days)""",
+        where,
+    )
+
+
+ORACLES["q34_kpi_grid"] = kpi_grid("TRUE", "TRUE")
+ORACLES["q34_kpi_grid_filtered"] = kpi_grid("lower(promotions) = 'yes'", "product_category IN ('ECONOMY', 'PROMO')")
+
 # --- what leaves no rows otherwise ---
 
 ORACLES["q15_season_places"] = f"""WITH bands AS ({ORACLES["q15_season_chart"]})

@@ -19,10 +19,11 @@ from shelfwise.operators import filters, rollups
 from shelfwise.operators.keys import dense_key
 from shelfwise.operators.rollups import SKU_KEYS
 from shelfwise.params import Params
-from shelfwise.plans import analysis, charts, dashboard, load, quality, skus, storage
+from shelfwise.plans import analysis, charts, dashboard, load, quality, skus, snapshot, storage
 from shelfwise.sources import csv, sinks, tpch
+from shelfwise.sources.versions import VersionedFolder
 from shelfwise.star import Star
-from shelfwise.workspace import new_path
+from shelfwise.workspace import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -336,6 +337,101 @@ def _one_quarter(store: storage.Store) -> DataFrame:
     return storage.inventory_summary(store, date(1995, 12, 1), date(1996, 2, 29))
 
 
+# --- files with bad lines --------------------------------------------------------------------------
+
+
+def _files_with_bad_lines(spark: SparkSession, folder: str, nations: int) -> dict[str, str]:
+    """The tables as text files, with five bad lines among the sales (one per region) and one per nation up to ``nations`` in the others."""
+    home = new_path(spark, "csv")
+    region, nation = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("region", "nation"))
+    key = F.col("r_regionkey").cast("string")
+    few = nation.where(F.col("n_nationkey") < nations).select(F.col("n_nationkey").cast("string").alias("key"), "n_name")
+    bad = {
+        "products": few.where("key % 2 = 0").select(F.concat_ws(",", F.concat(F.lit("P"), "key"), "n_name", F.lit("No"))),
+        "sales": region.select(F.concat_ws(",", key, F.lit("30/02/2021"), F.lit("x"), F.lit("1.5"))),
+        "factors": few.where("key % 2 = 1").select(F.concat_ws(",", "key", "n_name")),
+    }
+    paths = {}
+    for (kind, schema), rows in zip(load.STAGING.items(), _text_staging(spark, folder)):
+        lines = rows.select(F.concat_ws(",", *(F.coalesce(F.col(c), F.lit("")) for c in schema.names)).alias("line"))
+        both = lines.unionByName(bad[kind].toDF("line"))
+        paths[kind] = f"{home}/{kind}"
+        both.select(F.col("line").alias(",".join(schema.names))).write.csv(paths[kind], header=True, sep="\u0001")
+    return paths
+
+
+def _tolerated(spark: SparkSession, folder: str, nations: int) -> DataFrame:
+    """A load of files with bad lines into a store: the lines set aside, and the rows loaded (none if the load was refused)."""
+    home = new_path(spark, "store")
+    try:
+        star, aside = load.load_tolerant(spark, _files_with_bad_lines(spark, folder, nations))
+    except load.LoadError as refused:
+        found = int(str(refused).split()[0])
+        nothing = _text_staging(spark, folder)[1].agg(F.count("*").alias("rows_offered"))
+        return nothing.select("rows_offered", F.lit(found).alias("bad_lines"), F.lit(len(VersionedFolder(spark, home).numbers())).alias("versions"))
+    store = storage.rebuild(star, home)
+    loaded = load.staging_counts(store.products, store.sales(), store.factors).select(F.col("tbl"), F.lit(None).cast("string").alias("fault"), F.lit(None).cast("string").alias("line"), F.col("row_count").alias("num_rows"))
+    listed = aside.where("row_number > 0").groupBy("tbl", "fault", "line").agg(F.count("*").alias("num_rows"))
+    return loaded.unionByName(listed)
+
+
+# --- a written extract -----------------------------------------------------------------------------
+
+
+def _snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """Asked three times, refreshed once, and asked of a missing choice: rows of the extract, and how often it was written."""
+    tables = ("lineitem", "part", "orders")
+    kept = snapshot.ExtractSnapshot(
+        spark,
+        new_path(spark, "extract"),
+        lambda: [spark.read.parquet(f"{folder}/{name}.parquet") for name in tables],
+        lambda *_: dashboard.clean_extract(analysis.inventory_summary(tpch.star(spark, folder).with_written_dimensions())),
+        ttl_seconds=float("inf"),
+    )
+    extract = kept.get()
+    asked = [kept.state()["number"], (kept.get(), kept.state()["number"])[1], (kept.refresh(), kept.state()["number"])[1]]
+    figures = extract.agg(F.count("*").alias("row_count"), F.sum("inventory_quantity").alias("units"), F.count("gdp").alias("with_gdp"))
+    none_left = not quality.has_rows(filters.apply(extract, Params(categories=("NONE SUCH",))))
+    return figures.select("*", F.lit(quality.has_rows(extract)).alias("has_rows"), F.lit(none_left).alias("none_left"), F.lit("-".join(map(str, asked))).alias("versions"))
+
+
+# --- approximate counts ----------------------------------------------------------------------------
+
+NEAR_PERCENT = 3
+
+
+def _near(estimate: Column, exact_value: Column) -> Column:
+    return F.abs(estimate - exact_value) * 100 <= exact_value * NEAR_PERCENT
+
+
+def _turnover_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact turnover, and whether the one from merged sketches lies within NEAR_PERCENT of it (and a rounding step)."""
+    star = tpch.star(spark, folder)
+    exact_rows = comparable(analysis.turnover_by_category(skus.sku_totals(star)))
+    rough = comparable(analysis.turnover_estimate(materialise(analysis.sketched_by_month(star), "sketches")))
+    rough = rough.select("product_category", F.col("avg_units_per_product").alias("rough"), F.col("avg_unit_cost").alias("same_cost"))
+    both = exact_rows.join(rough, "product_category")
+    near = F.abs(F.col("rough") - F.col("avg_units_per_product")) * 100 <= F.col("avg_units_per_product") * NEAR_PERCENT + 10
+    return both.select("product_category", "avg_units_per_product", "avg_unit_cost", near.alias("is_near"), (F.col("same_cost") == F.col("avg_unit_cost")).alias("same_cost"))
+
+
+def _summary_estimate(spark: SparkSession, folder: str) -> DataFrame:
+    sketched = materialise(analysis.sketched_by_month(_clean(spark, folder)), "sketches")
+    rough = dashboard.data_summary_estimate(sketched, FILTERED).select(F.struct("records", "first_date", "last_date").alias("rough"), F.col("skus").alias("estimate"))
+    both = _summary(spark, folder).crossJoin(F.broadcast(rough))
+    same = F.col("rough") == F.struct("records", "first_date", "last_date")
+    return both.select("records", "skus", "first_date", "last_date", same.alias("same_rest"), _near(F.col("estimate"), F.col("skus")).alias("is_near"))
+
+
+# --- every stop of the sliders ---------------------------------------------------------------------
+
+
+def _kpi_grid(spark: SparkSession, folder: str, params: Params = Params()) -> DataFrame:
+    """The filters that move the baselines make the SKUs; the categories are chosen from the finished steps."""
+    metrics = _board_metrics(spark, folder, replace(params, categories=None))
+    return dashboard.kpi_grid(dashboard.kpi_steps(metrics), params.categories)
+
+
 # --- rows on what leaves no rows otherwise ---------------------------------------------------------
 
 
@@ -519,6 +615,14 @@ QUERIES: dict[str, Query] = {
     "q18_reorder_points_refreshed": _from_store(_reorder_from_store, REORDER),
     "q23_monthly_trend_refreshed": _from_store(storage.monthly_trend),
     "q39_monthly_trend_refreshed": _from_store(storage.month_end_trend),
+    # files with bad lines, a written extract, approximate counts, all sliders
+    "d08_nine_bad_lines": _as_is(_tolerated, nations=4),
+    "d08_eleven_bad_lines": _as_is(_tolerated, nations=6),
+    "s10_extract_snapshot": _as_is(_snapshot),
+    "q27_turnover_estimate": _as_is(_turnover_estimate),
+    "q35_data_summary_estimate": _as_is(_summary_estimate),
+    "q34_kpi_grid": _as_is(_kpi_grid, {"capital_at_risk": 2}),
+    "q34_kpi_grid_filtered": _as_is(_kpi_grid, {"capital_at_risk": 2}, params=FILTERED),
     # what leaves no rows otherwise
     "q15_season_places": _as_is(_season_places),
     "s09_views_after_load": _as_is(_views_after_load),

@@ -10,6 +10,7 @@ from decimal import Decimal
 from pyspark.sql import Column, functions as F
 
 WIDE = "decimal(38,0)"
+MICROS = "decimal(28,6)"
 
 
 def integer_mean(total: Column, n: Column) -> Column:
@@ -24,7 +25,7 @@ def mean(total: Column, n: Column) -> Column:
 
 def total(value: Column) -> Column:
     """Sum of doubles that is the same in any order: each is taken to six places and added as a decimal."""
-    return F.sum(value.cast("decimal(28,6)")).cast("double")
+    return F.sum(value.cast(MICROS)).cast("double")
 
 
 def half_up_mean(total: Column, n: Column, places: int) -> Column:

@@ -14,6 +14,10 @@ from shelfwise.functions import exact
 FRACTION_PLACES = 6
 TICKS_PER_UNIT = 10**FRACTION_PLACES
 
+# Distinct products as a sketch that merges: 2^SKETCH_LG registers, for a standard error of 0.8 per cent of the count.
+SKETCH = "product_sketch"
+SKETCH_LG = 14
+
 SKU_KEYS = ["product_id", "product_category", "promotions"]
 
 
@@ -61,8 +65,19 @@ def rollup(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(*measures(df))
 
 
+def sketched(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """A rollup with a sketch of the distinct products of each group."""
+    return df.groupBy(*keys).agg(*measures(df), F.hll_sketch_agg("product_id", F.lit(SKETCH_LG)).alias(SKETCH))
+
+
+def distinct_products() -> Column:
+    """Estimated number of distinct products of a sketched rollup."""
+    return F.hll_sketch_estimate(SKETCH)
+
+
 def merge(rollups: DataFrame, *keys: str | Column) -> DataFrame:
-    """Add rollups up to a coarser grain."""
+    """Add rollups up to a coarser grain; sketches, where there are any, are united."""
+    sketches = [F.hll_union_agg(SKETCH).alias(SKETCH)] if SKETCH in rollups.columns else []
     units_type = rollups.schema["units"].dataType
     return rollups.groupBy(*keys).agg(
         F.sum("num_rows").alias("num_rows"),
@@ -74,6 +89,7 @@ def merge(rollups: DataFrame, *keys: str | Column) -> DataFrame:
         F.min("first_date").alias("first_date"),
         F.max("last_date").alias("last_date"),
         F.count("*").alias("num_parts"),
+        *sketches,
     )
 
 

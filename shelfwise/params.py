@@ -10,6 +10,11 @@ PROMOTION_MODES = ("all", "yes", "no")
 OVERSTOCK_RATIO_RANGE = (0.20, 0.80)
 LEAD_TIME_RANGE = (1, 30)
 
+# The stops of the three sliders.
+OVERSTOCK_RATIOS = tuple(step / 100 for step in range(20, 81, 5))
+LEAD_TIMES = tuple(range(LEAD_TIME_RANGE[0], LEAD_TIME_RANGE[1] + 1))
+SERVICE_LEVELS = tuple(Z_SCORES)
+
 
 @dataclass(frozen=True)
 class Params:

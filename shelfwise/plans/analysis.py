@@ -144,6 +144,25 @@ def turnover_by_category(totals: DataFrame) -> DataFrame:
     return result.orderBy(F.desc("avg_units_per_product"), "product_category")
 
 
+def sketched_by_month(star: Star) -> DataFrame:
+    """Rollups per category, promotion status and month with sketches of the products sold. They merge to any span of months, which exact
+    distinct counts do not."""
+    star = star.with_written_products()
+    rows = joins.with_products(star.sales, star.products)
+    return rollups.sketched(rows, "product_category", "promotions", F.trunc("sales_date", "MM").alias("month_start"))
+
+
+def turnover_estimate(sketched: DataFrame) -> DataFrame:
+    """``turnover_by_category`` from sketched rollups: the number of products, and so the turnover, is an estimate."""
+    merged = rollups.merge(sketched, "product_category")
+    result = merged.select(
+        "product_category",
+        rollups.rounded_mean(merged, rollups.distinct_products(), 1).alias("avg_units_per_product"),
+        exact.half_up_mean(F.col("cost"), F.col("num_costs"), 2).alias("avg_unit_cost"),
+    )
+    return result.orderBy(F.desc("avg_units_per_product"), "product_category")
+
+
 # --- promotion, season, inflation ------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from shelfwise import schemas
 from shelfwise.functions import casts, display, exact, rules
 from shelfwise.operators import filters, joins, ranking, rollups
 from shelfwise.operators.rollups import SKU_KEYS
-from shelfwise.params import Params
+from shelfwise.params import LEAD_TIMES, OVERSTOCK_RATIOS, SERVICE_LEVELS, Params
 from shelfwise.plans import skus
 from shelfwise.star import Star
 
@@ -171,6 +171,48 @@ def kpis(metrics: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def kpi_steps(metrics: DataFrame, ratios: Iterable[float] = OVERSTOCK_RATIOS) -> DataFrame:
+    """Capital, flagged SKUs and units of each category at each overstock ratio, all from one pass over the SKUs.
+
+    A category's baseline does not depend on which other categories are chosen, so these rows answer any choice of
+    categories. Other filters move the baseline and need SKUs of their own.
+    """
+    demand, baseline = F.col("sku_demand"), F.col("avg_demand")
+
+    def step(ratio: float) -> Column:
+        flagged = rules.is_overstock(demand, baseline, ratio)
+        capital = F.sum(F.when(flagged, F.col("capital_tied_up").cast(exact.MICROS)))
+        return F.struct(F.lit(ratio).alias("overstock_ratio"), capital.alias("capital"), F.count_if(flagged).alias("flagged_skus"))
+
+    steps = F.array(*(step(ratio) for ratio in ratios)).alias("steps")
+    per_category = metrics.groupBy("product_category").agg(steps, F.sum("sku_units").alias("units"))
+    return per_category.select("product_category", "units", F.inline("steps"))
+
+
+def kpi_grid(
+    steps: DataFrame,
+    categories: Iterable[str] | None = None,
+    ratios: Iterable[float] = OVERSTOCK_RATIOS,
+    lead_times: Iterable[int] = LEAD_TIMES,
+    service_levels: Iterable[str] = SERVICE_LEVELS,
+) -> DataFrame:
+    """The row of ``kpis`` for every stop of the three sliders, with its overstock_ratio; the same rows as one plan per choice would give."""
+    kept = steps if categories is None else steps.where(F.col("product_category").isin(list(categories)))
+
+    def total(ratio: float) -> Column:
+        here = F.col("overstock_ratio") == F.lit(ratio)
+        return F.struct(
+            F.lit(ratio).alias("overstock_ratio"),
+            F.coalesce(F.sum(F.when(here, F.col("capital"))).cast("double"), F.lit(0.0)).alias("capital_at_risk"),
+            F.coalesce(F.sum(F.when(here, F.col("flagged_skus"))), F.lit(0)).alias("flagged_skus"),
+            F.coalesce(F.sum(F.when(here, F.col("units"))), F.lit(0)).cast("double").alias("units_analyzed"),
+        )
+
+    rows = kept.agg(F.array(*(total(ratio) for ratio in ratios)).alias("rows")).select(F.inline("rows"))
+    rows = rows.withColumn("service_level", F.explode(F.array(*map(F.lit, service_levels))))
+    return rows.withColumn("lead_time_days", F.explode(F.array(*map(F.lit, lead_times))))
+
+
 def data_summary(all_totals: DataFrame, params: Params = Params()) -> DataFrame:
     """Records and products of all rows, and the date span of the filtered ones."""
     kept = filters.keeps(params)
@@ -182,6 +224,17 @@ def data_summary(all_totals: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
+def data_summary_estimate(sketched: DataFrame, params: Params = Params()) -> DataFrame:
+    """The same from sketched rollups by category and promotion status (``rollups.sketched``); the products are an estimate."""
+    kept = filters.keeps(params)
+    return sketched.agg(
+        F.coalesce(F.sum("num_rows"), F.lit(0)).alias("records"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(rollups.SKETCH)), F.lit(0)).alias("skus"),
+        F.min(F.when(kept, F.col("first_date"))).alias("first_date"),
+        F.max(F.when(kept, F.col("last_date"))).alias("last_date"),
+    )
+
+
 def capital_by_category(metrics: DataFrame) -> DataFrame:
     """Capital in flagged SKUs per category, also in thousands, most first."""
     flagged = metrics.where("is_overstock").groupBy("product_category")

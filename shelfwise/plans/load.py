@@ -13,11 +13,18 @@ from shelfwise.functions import casts, exact, rules
 from shelfwise.operators import joins
 from shelfwise.operators.keys import dense_key
 from shelfwise.plans import analysis
+from shelfwise.sources import csv
 from shelfwise.star import Star
+from shelfwise.workspace import materialise
 
 STRICT = "strict"
 COERCE = "coerce"
 
+STAGING = {"products": schemas.STAGING_PRODUCTS, "sales": schemas.STAGING_SALES, "factors": schemas.STAGING_FACTORS}
+KEY_COLUMNS = {"products": ["product_id"], "sales": ["product_id", "sales_date"], "factors": ["sales_date"]}
+# Fixed value: so many lines that cannot be read are set aside by default.
+TOLERATED_LINES = 10
+
 SALES_ORDER = ["product_id", "sales_date", "inventory_quantity", "product_cost"]
 
 
@@ -76,6 +83,39 @@ def rejects(staging: DataFrame, kind: str) -> DataFrame:
     return staging.select(found).select("bad.column_name", "bad.raw_value")
 
 
+def _fault(kind: str) -> Column:
+    """Why a staged row cannot be loaded: its number of fields, or the columns that are missing or cannot be read; null if it can."""
+    values = _parsers(kind)
+    bad = [
+        F.when(value.isNull() if name in KEY_COLUMNS[kind] else F.col(name).isNotNull() & value.isNull(), F.lit(name))
+        for name, value in values.items()
+    ]
+    names = F.nullif(F.concat_ws(", ", *bad), F.lit(""))
+    return F.when(F.col(csv.BAD_LINE).isNotNull(), F.lit("fields")).otherwise(names)
+
+
+def load_tolerant(spark: SparkSession, paths: Mapping[str, str], tolerated: int = TOLERATED_LINES) -> tuple[Star, DataFrame]:
+    """The star from the files in ``paths`` (products, sales, factors), and the lines set aside.
+
+    A line that cannot be read is set aside with its file and row number (tbl, file, row_number, fault, line). With more than ``tolerated`` of them in all
+    three files together the load stops, before any table is made; the message names the first. What is left is loaded strictly, without row numbers on
+    the sales, ready for ``storage.rebuild`` or ``storage.append``.
+    """
+    staged, aside = {}, []
+    for kind, schema in STAGING.items():
+        placed = csv.read_staging_with_places(spark, paths[kind], schema).withColumn("fault", _fault(kind))
+        bad = placed.where(F.col("fault").isNotNull()).select(*csv.PLACE, "fault", csv.raw_line(schema).alias("line"))
+        numbered = csv.with_row_numbers(materialise(bad, "bad-lines"), placed)
+        aside.append(numbered.select(F.lit(kind).alias("tbl"), "file", "row_number", "fault", "line"))
+        staged[kind] = placed.where(F.col("fault").isNull()).select(schema.names)
+    lines = materialise(reduce(DataFrame.unionByName, aside), "lines-aside")
+    found = lines.count()
+    if found > tolerated:
+        first = lines.orderBy("tbl", "file", "row_number").first()
+        raise LoadError(f"{found} lines cannot be read, {tolerated} are tolerated; the first is row {first['row_number']} of {first['file']}: {first['line']}")
+    return load_star(staged["products"], staged["sales"], staged["factors"], numbered=False), lines
+
+
 def load_products(staging: DataFrame, mode: str = STRICT) -> DataFrame:
     """One row per product id: greatest category text, and promoted when any of its rows says so."""
     return dedupe_products(_typed(staging, "products", mode, ["product_id"]))
@@ -138,17 +178,19 @@ def load_star(
     factors: DataFrame,
     mode: str = STRICT,
     order_by: list[str] | None = SALES_ORDER,
+    numbered: bool = True,
 ) -> Star:
-    """Load the three staging frames. A sale without a product stops a strict load; coerce leaves it out."""
+    """Load the three staging frames. A sale without a product stops a strict load; coerce leaves it out. Sales that go into a store get
+    their row numbers there, so that they are not ``numbered`` here."""
     star = Star(load_products(products, mode), load_sales(sales, mode), load_factors(factors, mode))
     star = star.with_written_dimensions()
     if mode == COERCE:
         listed = star.sales.join(star.products.select("product_id"), "product_id", "left_semi")
-        return replace(star, sales=number_sales(listed, order_by))
+        return replace(star, sales=number_sales(listed, order_by) if numbered else listed)
     unknown = joins.orphans(star.sales, star.products).orderBy("product_id").first()
     if unknown:
         raise LoadError(f"sales of product {unknown['product_id']}, which is not listed")
-    return replace(star, sales=number_sales(star.sales, order_by))
+    return replace(star, sales=number_sales(star.sales, order_by)) if numbered else star
 
 
 def save_star(star: Star, folder: str) -> None:
