@@ -138,6 +138,21 @@ def number_sales(sales: DataFrame, order_by: list[str] | None = SALES_ORDER, fir
     return dense_key(sales, "sales_id", order_by, first)
 
 
+def typed_sales(staging: DataFrame, mode: str = STRICT) -> DataFrame:
+    """The same as a written table: texts are read and parsed once, whatever is asked of the rows afterwards."""
+    return materialise(load_sales(staging, mode), "typed-sales")
+
+
+def sales_of_product(sales: DataFrame, product_id: int) -> DataFrame:
+    """One product's sales with the row numbers that ``number_sales`` gives them.
+
+    Numbers follow the product first, so that those of one product start behind a count of the sales of lesser ids; nothing but its own
+    rows is sorted.
+    """
+    before = sales.where((F.col("product_id") < product_id) | F.col("product_id").isNull()).count()
+    return number_sales(sales.where(F.col("product_id") == product_id), first=before + 1)
+
+
 def load_factors(staging: DataFrame, mode: str = STRICT) -> DataFrame:
     """One row per date: the mean of each measure, rounded to two places."""
     return average_by_date(_typed(staging, "factors", mode, ["sales_date"]))
@@ -182,7 +197,7 @@ def load_star(
 ) -> Star:
     """Load the three staging frames. A sale without a product stops a strict load; coerce leaves it out. Sales that go into a store get
     their row numbers there, so that they are not ``numbered`` here."""
-    star = Star(load_products(products, mode), load_sales(sales, mode), load_factors(factors, mode))
+    star = Star(load_products(products, mode), typed_sales(sales, mode), load_factors(factors, mode))
     star = star.with_written_dimensions()
     if mode == COERCE:
         listed = star.sales.join(star.products.select("product_id"), "product_id", "left_semi")
