@@ -538,6 +538,8 @@ UNION ALL SELECT 'external_factors', COUNT(*), NULL, NULL, 2 FROM factors"""
 IN_TWO_LOADS = TABLES.replace(
     "ORDER BY product_id, sales_date", "ORDER BY sales_date >= DATE '1996-01-01', product_id, sales_date"
 )
+ORACLES["d01_checks_of_loads"] = f"""{TABLES}{CHECKS}
+UNION ALL SELECT 'sales_data: repeated sales_id', 0, 0, TRUE UNION ALL SELECT 'sales_data: missing sales_id', 0, 0, TRUE"""
 ORACLES["s06_ids_go_on"] = f"{IN_TWO_LOADS} SELECT {SALES_COLUMNS} FROM numbered"
 ORACLES["q06_summary_of_months"] = f"""{IN_TWO_LOADS}
 SELECT {SUMMARY_COLUMNS} FROM summary WHERE sales_date BETWEEN DATE '1995-12-01' AND DATE '1996-02-29'"""

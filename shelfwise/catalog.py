@@ -629,6 +629,7 @@ QUERIES: dict[str, Query] = {
     "q23_monthly_trend_refreshed": _from_store(storage.monthly_trend),
     "q39_monthly_trend_refreshed": _from_store(storage.month_end_trend),
     # files with bad lines, a written extract, approximate counts, all sliders
+    "d01_checks_of_loads": _from_store(storage.checks),
     "d08_nine_bad_lines": _as_is(_tolerated, nations=4),
     "d08_eleven_bad_lines": _as_is(_tolerated, nations=6),
     "s10_extract_snapshot": _as_is(_snapshot),

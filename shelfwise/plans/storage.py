@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import date
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from shelfwise import schemas
 from shelfwise.operators import joins, rollups
-from shelfwise.plans import analysis, load
+from shelfwise.plans import analysis, load, quality
 from shelfwise.sources.versions import VersionedFolder
 from shelfwise.star import Star
 from shelfwise.workspace import materialise
@@ -145,7 +146,7 @@ def rebuild(star: Star, folder: str, *, buckets: int | None = None, hot_rows: in
     spark = star.sales.sparkSession
     versions = VersionedFolder(spark, folder)
     number = max(versions.numbers(), default=0) + 1
-    state = {"generation": uuid.uuid4().hex, "buckets": buckets, "loads": [], "months": {}, "last_id": 0, "rows": {}}
+    state = {"generation": uuid.uuid4().hex, "buckets": buckets, "loads": [], "months": {}, "last_id": 0, "seen": {}}
     return _load(star, folder, state, number, None, hot_rows)
 
 
@@ -162,14 +163,14 @@ def append(star: Star, folder: str, *, hot_rows: int = HOT_ROWS) -> Store:
 def _load(star: Star, folder: str, state: dict, number: int, before: Store | None, hot_rows: int) -> Store:
     spark = star.sales.sparkSession
     star = star.with_written_dimensions()
-    _check_keys(star, before)
     load_id = f"{number:09d}-{uuid.uuid4().hex[:8]}"
     own = rollups.rollup(star.sales, "product_id", month_of("sales_date").alias("month"))
     own = materialise(own, "load-by-month")
-    per_product = own.groupBy("product_id").agg(F.sum("num_rows").alias("n"))
+    sold = own.groupBy("product_id").agg(F.sum("num_rows").alias("num_rows"))
+    uncategorised = _check_keys(star, sold, before)
     total = own.agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
     limit = max(hot_rows, total // HOT_SHARE)
-    hot = [row["product_id"] for row in per_product.where(F.col("n") > limit).orderBy("product_id").collect()]
+    hot = [row["product_id"] for row in sold.where(F.col("num_rows") > limit).orderBy("product_id").collect()]
     touched = [row["month"] for row in own.select("month").distinct().orderBy("month").collect()]
     buckets = state["buckets"] or min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS)))
     state = {**state, "buckets": buckets}
@@ -180,25 +181,31 @@ def _load(star: Star, folder: str, state: dict, number: int, before: Store | Non
     salt = F.when(F.col("hot") == 1, F.col("sales_id") % SALTS).otherwise(0)
     months = _with_stored_months(own, before, touched).withColumn("load", F.lit(load_id))
     tables = {
-        PRODUCTS: _by_bucket(star.products.withColumn("load", F.lit(load_id)), buckets),
-        FACTORS: star.factors.withColumn("load", F.lit(load_id)),
+        PRODUCTS: _counted(star.products.repartition(buckets, "product_id"), "product_id").withColumn("load", F.lit(load_id)),
+        FACTORS: _counted(star.factors, "sales_date").withColumn("load", F.lit(load_id)),
         MONTHS: _by_bucket(months, buckets, "month"),
         SALES: _by_bucket(sales, buckets, "month", salt),
     }
-    rows = {}
+    seen = {}
     for name, frame in tables.items():
-        seen = Observation()
-        ids = [F.max("sales_id").alias("last")] if name == SALES else []
-        _write(frame.observe(seen, F.count(F.lit(1)).alias("rows"), *ids), folder, state, name)
-        rows[name] = dict(seen.get)
-
-    plain = {name: T.StructType([f for f in frame.schema.fields if f.name not in LAYOUT[name]]).jsonValue() for name, frame in tables.items()}
+        observed = Observation()
+        watched = frame.observe(observed, *_metrics(name)).drop(COPIES)
+        _write(watched, folder, state, name)
+        seen[name] = dict(observed.get)
+    seen[SALES]["uncategorised"] = uncategorised
+    for name, key in ((PRODUCTS, "product_id"), (FACTORS, "sales_date")):
+        if seen[name]["repeated"]:
+            raise load.LoadError(f"{name}: {seen[name]['repeated']} values of {key} stand in several rows")
+
+    plain = {
+        name: T.StructType([f for f in frame.schema.fields if f.name not in (*LAYOUT[name], COPIES)]).jsonValue() for name, frame in tables.items()
+    }
     state |= {
         "number": number,
         "time": time.time(),
         "loads": [*state["loads"], load_id],
-        "last_id": rows[SALES]["last"] or state["last_id"],
-        "rows": {**state["rows"], load_id: {name: counted["rows"] for name, counted in rows.items()}},
+        "last_id": seen[SALES]["last"] or state["last_id"],
+        "seen": {**state["seen"], load_id: seen},
         "months": {**state["months"], **{str(month): load_id for month in touched}},
         "hot": sorted({*state.get("hot", []), *hot}),
         "schemas": state.get("schemas") or plain,
@@ -208,6 +215,65 @@ def _load(star: Star, folder: str, state: dict, number: int, before: Store | Non
     return Store(spark, folder, state)
 
 
+#: How many rows share a key, while a table with unique keys is written.
+COPIES = "copies"
+
+
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key with the number of its rows, which should be one."""
+    others = [F.max(name).alias(name) for name in rows.columns if name != key]
+    return rows.groupBy(key).agg(*others, F.count("*").alias(COPIES))
+
+
+def _metrics(table: str) -> list[Column]:
+    """What is counted of a table while it is written, so that no check has to read it again."""
+    if table == MONTHS:
+        return [F.count(F.lit(1)).alias("rows")]
+    if table == SALES:
+        missing = [F.count_if(F.col(name).isNull()).alias(f"missing_{name}") for name in ("sales_id", "product_id", "sales_date")]
+        return [F.count("*").alias("rows"), F.min("sales_id").alias("first"), F.max("sales_id").alias("last"), *missing]
+    key = "product_id" if table == PRODUCTS else "sales_date"
+    n, is_null = F.col(COPIES), F.col(key).isNull()
+    figures = {"rows": F.sum(n), "repeated": F.count_if((n > 1) & ~is_null), "missing": F.sum(F.when(is_null, n))}
+    if table == PRODUCTS:
+        figures |= {f"long_{name}": F.count_if(F.length(name) > width) for name, width in schemas.TEXT_LIMITS.items()}
+    return [F.coalesce(value, F.lit(0)).alias(name) for name, value in figures.items()]
+
+
+def checks(store: Store, rows: Mapping[str, int] = quality.MINIMUM_ROWS, exact_count: bool = False) -> DataFrame:
+    """The rows of ``quality.all_checks`` from what was counted while the loads were written; no table is read.
+
+    Unknown products and repeated keys stop a load, so that their checks hold in every version. Row numbers repeat if a load has fewer
+    of them than rows.
+    """
+    loads = [store.state["seen"][load_id] for load_id in store.state["loads"]]
+
+    def total(table: str, name: str) -> int:
+        return sum(seen[table][name] for seen in loads)
+
+    sales = [seen[SALES] for seen in loads]
+    numbers = sum(seen["last"] - seen["first"] + 1 for seen in sales if seen["rows"])
+    found = {
+        f"{PRODUCTS}: repeated product_id": total(PRODUCTS, "repeated"),
+        f"{PRODUCTS}: missing product_id": total(PRODUCTS, "missing"),
+        **{f"{PRODUCTS}: {name} over {width}": total(PRODUCTS, f"long_{name}") for name, width in schemas.TEXT_LIMITS.items()},
+        f"{SALES}: missing product_id": total(SALES, "missing_product_id"),
+        f"{SALES}: missing sales_date": total(SALES, "missing_sales_date"),
+        f"{SALES}: unknown product_id": 0,
+        "inventory_summary: missing product_category": total(SALES, "uncategorised"),
+        f"{SALES}: repeated sales_id": max(0, total(SALES, "rows") - numbers - total(SALES, "missing_sales_id")),
+        f"{SALES}: missing sales_id": total(SALES, "missing_sales_id"),
+        f"{FACTORS}: repeated sales_date": total(FACTORS, "repeated"),
+        f"{FACTORS}: missing sales_date": total(FACTORS, "missing"),
+    }
+    listed = [(name, 0, actual, actual == 0) for name, actual in found.items()]
+    for table, expected in rows.items():
+        actual = total(table, "rows")
+        ok = actual == expected if exact_count else actual >= expected
+        listed.append((f"{table}: {'rows' if exact_count else 'least rows'}", expected, actual, ok))
+    return store.spark.createDataFrame(listed, "check string, expected bigint, actual bigint, ok boolean")
+
+
 def _with_stored_months(own: DataFrame, before: Store | None, touched: list[date]) -> DataFrame:
     """Totals of the months that a load touches: its own, merged with what is stored of just these months."""
     if before is None:
@@ -216,18 +282,29 @@ def _with_stored_months(own: DataFrame, before: Store | None, touched: list[date
     return rollups.merge(own.unionByName(stored.select(own.columns)), "product_id", "month").drop("num_parts")
 
 
-def _check_keys(star: Star, before: Store | None) -> None:
-    """Raise for a product id or a date loaded before, and for a sale of a product that neither load knows."""
-    known = star.products.select("product_id")
+def _check_keys(star: Star, sold: DataFrame, before: Store | None) -> int:
+    """Raise for a product id or a date loaded before, and for a sale of a product that neither load knows.
+
+    Returns the number of sales whose product has no category. ``sold`` has the number of sales per product, so that the sales are not read
+    for it.
+    """
+    known = star.products.select("product_id", "product_category")
     if before is not None:
         for new, stored, key in ((star.products, before.products, "product_id"), (star.factors, before.factors, "sales_date")):
             again = new.join(stored.select(key), key, "left_semi").orderBy(key).first()
             if again:
                 raise load.LoadError(f"{key} {again[key]} is stored already")
-        known = known.unionByName(before.products.select("product_id"))
-    unknown = joins.orphans(star.sales, known).orderBy("product_id").first()
-    if unknown:
-        raise load.LoadError(f"sales of product {unknown['product_id']}, which is not listed")
+        known = known.unionByName(before.products.select("product_id", "product_category"))
+    listed = known.groupBy("product_id").agg(F.bool_or(F.col("product_category").isNull()).alias("uncategorised"))
+    judged = sold.join(listed, "product_id", "left").agg(
+        F.count_if(F.col("uncategorised").isNull()).alias("unknown"),
+        F.min(F.when(F.col("uncategorised").isNull(), F.col("product_id"))).alias("example"),
+        F.coalesce(F.sum(F.when(F.col("uncategorised"), F.col("num_rows"))), F.lit(0)).alias("uncategorised"),
+    )
+    result = judged.first()
+    if result["unknown"]:
+        raise load.LoadError(f"sales of product {result['example']}, which is not listed")
+    return result["uncategorised"]
 
 
 def sweep(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:

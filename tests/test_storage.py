@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import joins, rollups
-from shelfwise.plans import analysis, dashboard, load, skus, storage
+from shelfwise.plans import analysis, dashboard, load, quality, skus, storage
 from shelfwise.sources.versions import VersionConflict, VersionedFolder
 from shelfwise.star import Star
 
@@ -69,7 +69,7 @@ def test_a_version_is_published_once(spark, tmp_path):
         storage.open_store(spark, str(tmp_path / "empty"))
 
 
-@pytest.mark.parametrize("table", list(storage.LAYOUT))
+@pytest.mark.parametrize("table", [storage.FACTORS, storage.SALES])
 def test_a_load_that_dies_between_tables_leaves_the_old_version(spark, tmp_path, monkeypatch, table):
     home = str(tmp_path)
     old = storage.rebuild(star_of(spark, range(1, 8), DAYS[:2]), home)
@@ -97,10 +97,10 @@ def test_two_loads_at_once_do_not_both_win(spark, tmp_path, monkeypatch):
     storage.rebuild(star_of(spark, range(1, 5), DAYS[:1]), home)
     check = storage._check_keys
 
-    def overtaken(star, before):
+    def overtaken(star, sold, before):
         monkeypatch.setattr(storage, "_check_keys", check)
         storage.append(star_of(spark, [77], DAYS[4:]), home)
-        check(star, before)
+        return check(star, sold, before)
 
     monkeypatch.setattr(storage, "_check_keys", overtaken)
     with pytest.raises(VersionConflict):
@@ -160,6 +160,28 @@ def test_empty_loads(spark, tmp_path):
     assert store.number == 3 and store.state["last_id"] == 2 and storage.joined_sales(store).count() == 2
 
 
+def test_repeated_keys_stop_a_load(spark, tmp_path):
+    star = star_of(spark, range(1, 5), DAYS[:1])
+    with pytest.raises(load.LoadError, match="product_information: 2 values"):
+        storage.rebuild(replace(star, products=star.products.unionByName(star.products.where("product_id > 2"))), str(tmp_path))
+    with pytest.raises(load.LoadError, match="external_factors: 1 values"):
+        storage.rebuild(replace(star, factors=star.factors.unionByName(star.factors)), str(tmp_path))
+    assert VersionedFolder(spark, str(tmp_path)).numbers() == []
+
+
+def test_checks_come_from_the_loads_themselves(spark, loads, monkeypatch):
+    _, store = loads
+    want = quality.all_checks(replace(store.star(), written=True), rows={"product_information": 60, "sales_data": 10, "external_factors": 5}).collect()
+
+    def read_again(*_):
+        raise AssertionError("a table is read")
+
+    monkeypatch.setattr(storage.Store, "_table", read_again)
+    found = storage.checks(store, rows={"product_information": 60, "sales_data": 10, "external_factors": 5})
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want))
+    assert {r.check for r in found.where("not ok").collect()} == {"product_information: least rows", "inventory_summary: missing product_category"}
+
+
 # --- monthly totals --------------------------------------------------------------------------------
 
 
