@@ -12,7 +12,7 @@ from shelfwise.operators import rollups
 from shelfwise.params import LEAD_TIMES, OVERSTOCK_RATIOS, Params, SERVICE_LEVELS
 from shelfwise.plans import dashboard, load, snapshot, storage
 from shelfwise.schemas import STAGING_SALES
-from shelfwise.sources import csv
+from shelfwise.sources import csv, sinks
 from shelfwise.sources.versions import VersionedFolder
 
 # --- bad lines -------------------------------------------------------------------------------------
@@ -195,3 +195,28 @@ def test_sketches_merge_to_an_estimate_of_all_products(spark):
     assert {r.product_category: r.n for r in merged.collect()} == {r.product_category: r.n for r in whole.collect()}
     assert all(abs(r.n - exact[r.product_category]) <= 0.03 * exact[r.product_category] for r in merged.collect())
     assert rollups.merge(rollups.rollup(rows, "product_category"), "product_category").columns.count(rollups.SKETCH) == 0
+
+
+# --- one ordered file ------------------------------------------------------------------------------
+
+
+def test_one_file_holds_the_list_in_its_order(spark, tmp_path):
+    rows = spark.range(5000).select(
+        "id", F.xxhash64("id").alias("key"), (F.col("id") % 2 == 0).alias("flag"), F.when(F.col("id") % 7 > 0, F.format_string('é, "%s"', "id")).alias("note")
+    )
+    ordered = rows.repartition(7).orderBy(F.desc("flag"), "key")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = sinks.export_csv(ordered, str(tmp_path / "list"), one_file=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [f for f in (tmp_path / "list").iterdir() if not f.name.startswith(".")]
+    assert [f.name for f in files] == ["part-00000.csv"] and path == str(tmp_path / "list")
+    assert [f.name for f in tmp_path.iterdir()] == ["list"]
+    alone = str(tmp_path / "alone")
+    sinks.with_text_flags(ordered).coalesce(1).write.option("encoding", "UTF-8").csv(alone, header=True)
+    (only,) = [f for f in (tmp_path / "alone").iterdir() if f.name.startswith("part-")]
+    assert files[0].read_bytes() == only.read_bytes() and files[0].read_text().startswith("id,key,flag,note\n")
+    assert spark.read.csv(path, header=True).count() == 5000
+    sinks.export_csv(ordered.where("false"), path, one_file=True)
+    assert (tmp_path / "list" / "part-00000.csv").read_text() == "id,key,flag,note\n"
