@@ -160,9 +160,9 @@ class Pieces:
             offer(i)
         return [x for i in range(n) if alive[i] for x in (self.spell(unit[start[i]]) if sym[i] < 0 else [sym[i]])]
 
-    def segment(self, units: list[str], variants: np.ndarray, seed: int, dropout: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, units: list[str], variants: np.ndarray, seed: int, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The agenda for many units at once, one merge of each unit in a round: all ids in a row, and their number by unit.
-        The unit and the hashed place of every candidate are added to ``offered``."""
+        The unit and the hashed place of every merge made are added to ``merges``."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum(sizes) - sizes
@@ -183,8 +183,6 @@ class Pieces:
             if dropout:
                 ok = keep_merge(names[row[i]], variants[row[i]], start[i], start[i + 1], end[i + 1], seed, dropout)
                 i, found = i[ok], found[ok]
-            if offered is not None:
-                offered.append((row[i], _place(start[i], start[i + 1], end[i + 1])))
             joined[i], cand[i] = found, self.rank[found]
 
         offer(np.arange(len(sym)))
@@ -198,6 +196,8 @@ class Pieces:
             if not live.all():
                 done.append((row[~live], sym[~live], code[~live]))
             i = best[open_] & _LOW
+            if merges is not None:
+                merges.append((row[i], _place(start[i], start[i + 1], end[i + 1])))
             sym[i], end[i] = joined[i], end[i + 1]
             cand[i] = NONE
             cand[i[i > 0] - 1] = NONE
@@ -245,8 +245,11 @@ def units_of(text: str) -> list[str]:
 
 
 class Encoder:
-    """Encodes texts, and keeps the plain segmentations of the units seen, with their candidates, up to a bound. A unit at a place where
-    no candidate of its plain segmentation is skipped takes that one; at all other places it is segmented anew."""
+    """Encodes texts, and keeps the plain segmentations of the units seen, with the merges that made them, up to a bound.
+
+    A unit at a place where none of these merges is skipped takes the plain segmentation: a candidate that the agenda never came to
+    changes nothing by being skipped. At all other places the unit is segmented anew.
+    """
 
     def __init__(self, pieces: Pieces, seed: int, dropout: float, variants: int):
         self.pieces, self.seed, self.dropout, self.variants = pieces, seed, dropout, variants
@@ -263,12 +266,12 @@ class Encoder:
         own = _mix(np.array([doc & (2**64 - 1)], np.uint64) ^ np.uint64(self.seed))
         return _mix(own + np.arange(n, dtype=np.uint64)) % np.uint64(self.variants)
 
-    def _segment(self, units: list[str], variants: np.ndarray, dropout: float, offered: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in a row and their number by unit; long units go through the plain agenda one by one, unless their candidates are asked for."""
+    def _segment(self, units: list[str], variants: np.ndarray, dropout: float, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in a row and their number by unit; long units go through the plain agenda one by one, unless their merges are asked for."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         long = np.flatnonzero(sizes > LONG_UNIT)
-        if not len(long) or offered is not None:
-            return self.pieces.segment(units, variants, self.seed, dropout, offered)
+        if not len(long) or merges is not None:
+            return self.pieces.segment(units, variants, self.seed, dropout, merges)
         short = np.flatnonzero(sizes <= LONG_UNIT)
         ids, widths = self.pieces.segment([units[i] for i in short], variants[short], self.seed, dropout)
         more, wide = _joined([self.pieces.agenda(units[i], int(variants[i]), self.seed, dropout) for i in long])
@@ -276,17 +279,17 @@ class Encoder:
         return _take(ids, np.cumsum(widths) - widths, widths, order), widths[order]
 
     def _learn(self, units: list[str]) -> None:
-        """Plain segmentations of new units. Long units have no candidates here: at a place they are always segmented."""
+        """Plain segmentations of new units. Long units have no merges here: at a place they are always segmented."""
         self.names += units
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
         self.hashes = np.concatenate([self.hashes, unit_name(codes, np.cumsum(sizes) - sizes)])
-        offered: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout else None
+        merges: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout else None
         rows = np.flatnonzero((sizes <= LONG_UNIT) | (not self.dropout))
-        ids, widths = self._segment([units[i] for i in rows], np.zeros(len(rows), np.uint64), 0.0, offered)
+        ids, widths = self._segment([units[i] for i in rows], np.zeros(len(rows), np.uint64), 0.0, merges)
         self.ids.add(ids, np.bincount(rows, weights=widths, minlength=len(units)).astype(np.int64))
         if self.dropout:
-            row, place = (np.concatenate([o[k] for o in offered]) for k in (0, 1))
+            row, place = (np.concatenate([m[k] for m in merges]) if merges else np.zeros(0, np.uint64) for k in (0, 1))
             self.places.add(place[np.argsort(row, kind="stable")], np.bincount(rows[row], minlength=len(units)))
 
     def encode(self, docs: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
