@@ -64,18 +64,20 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     ``component`` is the least node reachable. Each round links every node's greater neighbours, then its lesser ones,
     to the least of its neighbourhood (alternating stars), which leaves a forest of stars after a
-    number of rounds that grows with the logarithm of the nodes. Every round is a written table; a round sends a hub's
-    neighbours in one row each, and the least neighbour comes from an aggregate that combines before the shuffle.
+    number of rounds that grows with the logarithm of the nodes. Every round is a written table. The least neighbour comes from an
+    aggregate that combines before the shuffle, and the rows of a hub, which may be a third of all, stay where they are: join_weighed
+    broadcasts the few nodes that have so many.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs = materialise(pairs, label)
     before = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(small_least, "a")
+        least = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("n")), label)
+        up = join_weighed(both.where("b > a"), least, ["a"], "n")
+        large = materialise(up.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), label)
+        small_least = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), label)
+        down = join_weighed(large, small_least, ["a"], "n")
         small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct()
         pairs = materialise(small, label)
@@ -103,17 +105,26 @@ def shingles(words: Column, size: int, join: Callable[..., Column]) -> Column:
     return F.transform(firsts, lambda word, i: join(word, *(F.get(words, i + k) for k in range(1, size))))
 
 
-def rows_of(docs: DataFrame, marked: DataFrame, how: str, row_bytes: int = 48) -> DataFrame:
-    """Rows of ``docs`` joined (semi, anti, left, inner) to a written table on doc_id and th, the hash of the text.
+def free_name(rows: DataFrame, stem: str) -> str:
+    """``stem``, or the first of ``stem_``, ``stem__`` and so on that is no column of ``rows`` (in any case)."""
+    taken = {c.lower() for c in rows.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
 
-    ``marked`` has each pair once; it is broadcast up to BROADCAST_BYTES. Null ids match null ids. The columns of
-    ``marked`` other than its keys must have names that ``docs`` does not have.
+
+def rows_of(docs: DataFrame, marked: DataFrame, how: str, row_bytes: int = 48, *, small: bool | None = None) -> DataFrame:
+    """Rows of ``docs`` joined (anti, left, inner) to a written table on doc_id and th, the hash of the text.
+
+    ``marked`` has each pair once; it is broadcast up to BROADCAST_BYTES, by its number of rows or as ``small`` says. Null ids match
+    null ids. ``docs`` may have any other columns; those of ``marked`` other than its keys must have names that ``docs`` does not have.
     """
-    marked = marked.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
-    if rows_in(marked) * row_bytes <= BROADCAST_BYTES:
+    doc_id, th = free_name(docs, "_id"), free_name(docs, "_th")
+    marked = marked.withColumnsRenamed({"doc_id": doc_id, "th": th})
+    if rows_in(marked) * row_bytes <= BROADCAST_BYTES if small is None else small:
         marked = F.broadcast(marked)
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    return docs.join(marked, on, how).drop("_id", "_th")
+    on = F.col("doc_id").eqNullSafe(F.col(doc_id)) & (F.xxhash64("text") == F.col(th))
+    return docs.join(marked, on, how).drop(doc_id, th)
 
 
 #: Rows in an Arrow batch, and in a batch of the Parquet reader. Texts are long, so that the defaults of ten and four thousand

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from shelfwise.llm.common import BLANKS, BROADCAST_BYTES, fold, join_measured, whole
+from shelfwise.llm.common import BLANKS, BROADCAST_BYTES, fold, free_name, join_measured, rows_of, whole
 from shelfwise.workspace import materialise, new_path
 
 MIN_CHARS = 20
@@ -54,6 +54,7 @@ class LineRuns:
     min_docs: int = MIN_DOCS
     fanout: int = FANOUT
     levels: list[list[DataFrame]] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
 
     def add(self, batch: DataFrame) -> None:
         """``batch`` holds lines (doc_id, h1, h2). A null doc_id is one document, below all others."""
@@ -63,6 +64,11 @@ class LineRuns:
             found = found.join(run.where(F.col("n") >= self.min_docs).select(*KEY), KEY, "left_anti")
         self._put(0, self._write(found))
 
+    def close(self) -> None:
+        """Take the runs out of the session's catalogue; their files stay until the workspace is cleared."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
@@ -94,6 +100,7 @@ class LineRuns:
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         writer = run.repartition(buckets, *KEY).write.format("parquet").bucketBy(buckets, *KEY).sortBy(*KEY)
         writer.option("path", new_path(self.spark, name)).saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
 
@@ -119,6 +126,7 @@ def dropped_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int
     for i in range(batches):
         runs.add(lines.where(F.col("batch") == i))
     repeated = materialise(runs.merged().where(F.col("n") >= min_docs).select(*KEY, "keeper"), "repeated-lines")
+    runs.close()
     hits = join_measured(lines, repeated, KEY, "inner", row_bytes=64, spread=F.col("th"))
     gone = hits.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
@@ -141,20 +149,18 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int =
     Keys of at least ``min_chars`` code points found in at least ``min_docs`` documents lose all their lines but those
     of the largest doc_id. The other lines stay, joined by line feeds.
 
-    Null and empty texts are one empty line and become the empty text. Rows with one doc_id count as one
+    Ids are whole numbers. Null and empty texts are one empty line and become the empty text. Rows with one doc_id count as one
     document. Null ids are one document, below all others. An empty table gives an empty table. Other
-    columns are kept; ``n_lines`` and ``n_dropped`` replace columns of those names.
+    columns are kept, whatever their names; ``n_lines`` and ``n_dropped`` replace columns of those names.
     """
     gone = materialise(dropped_lines(docs, min_chars=min_chars, min_docs=min_docs, batches=batches), "dropped-lines")
     size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("gone")), F.lit(0))).first()[0]
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    gone = F.broadcast(gone) if size <= BROADCAST_BYTES else gone
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
+    places = free_name(docs, "_gone")
     lines = lines_of(F.col("text"))
-    kept = F.when(F.col("_gone").isNull(), whole("text")).otherwise(F.array_join(_without(lines, F.col("_gone")), "\n"))
+    kept = F.when(F.col(places).isNull(), whole("text")).otherwise(F.array_join(_without(lines, F.col(places)), "\n"))
     more = {
         "n_lines": F.size(lines).cast("long"),
-        "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
+        "n_dropped": F.coalesce(F.size(places), F.lit(0)).cast("long"),
     }
-    joined = docs.drop(*more).join(gone, on, "left")
-    return joined.withColumns({**more, "text": kept}).drop("_id", "_th", "_gone")
+    joined = rows_of(docs.drop(*more), gone.withColumnRenamed("gone", places), "left", small=size <= BROADCAST_BYTES)
+    return joined.withColumns({**more, "text": kept}).drop(places)

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfwise.llm.common import free_name
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 WINDOW = 3
@@ -103,12 +105,14 @@ def apply_rules(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
     Base: fewer than MIN_WORDS words, or over MAX_REPEAT_PERCENT of the words in windows of three found twice or more. A document
     is kept if it passes the base and all shares of ``rules``. Words are parted by the ASCII blanks. Null and empty texts
-    have no words and fail. Ids, repeated rows and other columns play no part.
+    have no words and fail. Each row is judged on its own: ids, repeated rows, ties and other columns play no part, and an empty table gives
+    an empty table.
     """
     lengths = tuple(k for k, _ in rules.ngrams)
-    rows = docs.withColumn("_figures", repetition(F.col("text"), lengths))
+    figures = free_name(docs, "_figures")
+    rows = docs.withColumn(figures, repetition(F.col("text"), lengths))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_line_chars", *(f"dup_chars_{k}" for k in lengths)]
-    rows = rows.withColumns({n: F.col(f"_figures.{n}") for n in names}).drop("_figures")
+    rows = rows.withColumns({n: F.col(f"{figures}.{n}") for n in names}).drop(figures)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     kept = ~failed & (F.col("dup_line_chars") <= rules.lines * F.col("word_chars")) & (F.col("n_symbols") <= rules.symbols * F.col("n_words"))
     for k, share in rules.ngrams:

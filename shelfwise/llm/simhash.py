@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.llm.common import BROADCAST_BYTES, components, join_measured
+from shelfwise.llm.common import BROADCAST_BYTES, components, free_name, join_measured, rows_of
 from shelfwise.workspace import materialise
 
 SHINGLE_WORDS = 3
@@ -181,6 +181,8 @@ def simhash_components(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -
 def keep_one_of_each(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with one row of each component: the one of the least doc_id (null ids last, then by hash of the text).
 
+    Rows equal in id and text leave one row, of which any may stay. All columns are kept, whatever their names; an empty table gives an empty table.
+
     Only the rows that go are gathered; they are broadcast up to BROADCAST_BYTES and else joined by id and hash.
     """
     table = fingerprint_table(docs, shingle_words)
@@ -192,13 +194,13 @@ def keep_one_of_each(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS) ->
     rows = table.groupBy("doc_id", "th", "f").agg(F.count(F.lit(1)).alias("n"))
     rows = join_measured(rows, labels, ["f"], "left", row_bytes=80, spread=F.col("th"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th"))
-    marked = rows.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), stays.alias("_stays"), (F.col("n") > 1).alias("_many"))
-    marked = materialise(marked.where("not _stays or _many"), "simhash-marked")
-    size, repeats = marked.agg(F.count(F.lit(1)), F.count(F.when(F.col("_stays"), 1))).first()
-    marked = F.broadcast(marked) if size * 48 <= BROADCAST_BYTES else marked
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    joined = docs.join(marked, on, "left")
-    single = joined.where("_stays is null")
+    marked = rows.select("doc_id", "th", stays.alias("stays"), (F.col("n") > 1).alias("many")).where("not stays or many")
+    marked = materialise(marked.drop("many"), "simhash-marked")
+    size, repeats = marked.agg(F.count(F.lit(1)), F.count(F.when(F.col("stays"), 1))).first()
+    flag, text_hash = free_name(docs, "_stays"), free_name(docs, "_hash")
+    joined = rows_of(docs, marked.withColumnRenamed("stays", flag), "left", small=size * 48 <= BROADCAST_BYTES)
+    single = joined.where(F.col(flag).isNull())
     if repeats:
-        single = single.unionByName(joined.where("_stays").dropDuplicates(["_id", "_th"]))
-    return single.drop("_id", "_th", "_stays", "_many")
+        copies = joined.where(F.col(flag)).withColumn(text_hash, F.xxhash64("text"))
+        single = single.unionByName(copies.dropDuplicates(["doc_id", text_hash]).drop(text_hash))
+    return single.drop(flag)

@@ -97,16 +97,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, url:
     keeps the true hits. A rule that fits decides; else a listed url is blocked and any other allowed.
 
     Null urls and urls without ``://`` have empty host and path, fit no rule and are never listed: they are allowed.
-    Repeated pages are judged each on their own; an empty list blocks nothing. Columns of ``pages`` are kept, but for
-    those with the names of the results, which are replaced.
+    Repeated pages are judged each on their own; an empty list blocks nothing. Columns of ``pages`` are kept, whatever
+    their names, but for those with the names of the results, which are replaced. An empty table gives an empty table.
     """
     keys = materialise(listed.select(canonical_url(F.col(listed_url)).alias("_key")).where("_key is not null").distinct(), "listed-urls")
     blocks, n_blocks = bloom_filter(keys, "_key", keys.count())
-    own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "listed")]
-    address = F.col(url)
+    own = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "listed")]
+    given = {f"c{i}": c for i, c in enumerate(own)}  # the names under which the columns of pages travel
+    address = F.col(f"`{url}`")
     rows = _hashed(
         pages.select(
-            *(F.col(f"`{c}`") for c in own),
+            *(F.col(f"`{c}`").alias(short) for short, c in given.items()),
             url_host(address).alias("_host"), url_path(address).alias("_path"), canonical_url(address).alias("_key"),
         ),
         "_key", n_blocks,
@@ -120,7 +121,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule], *, url:
     judged = hits.withColumn("listed", F.coalesce("listed", F.lit(False))).unionByName(sure)
     rule = rule_for(F.col("_host"), F.col("_path"), rules)
     return judged.withColumn("_rule", rule).select(
-        *(F.col(f"`{c}`") for c in own),
+        *(F.col(short).alias(c) for short, c in given.items()),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
         F.col("_rule.text").alias("rule"),
