@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from shelfwise.workspace import materialise
 
 #: Repeated units in a row go if they have this many words together; shorter repeats are common speech and stay.
 MIN_WORDS = 20
-#: A unit is a stretch of a line up to the end of a sentence, with the blanks behind it.
-UNIT = re.compile(r"[^\n]*?(?:[.!?]+(?=[ \t\x0b\x0c\r\n])|\n|$)[ \t\x0b\x0c\r\n]*")
+#: A unit is a stretch of a line up to the end of a sentence, with the blanks behind it. This is what parts units: the blanks behind
+#: a sentence, or the end of a line. It takes time in proportion to the text, whatever stands in it.
+GAP = re.compile(r"(?:(?<=[.!?])[ \t\x0b\x0c\r]|\n)[ \t\x0b\x0c\r\n]*")
 DIGEST = ["d1", "d2"]
 LAST = (1 << 63) - 1
 _COLUMNS = "doc_id long, th long, unit int, start int, stop int, words int, d1 long, d2 long, before array<tinyint>, after array<tinyint>"
@@ -25,10 +27,12 @@ _COLUMNS = "doc_id long, th long, unit int, start int, stop int, words int, d1 l
 def units_of(text: str) -> list[tuple[int, int, list[str]]]:
     """Start, end and words (lower-cased) of each unit with words; offsets count code points of the text as it is."""
     found = []
-    for match in UNIT.finditer(text):
-        words = match.group().lower().split()
+    starts = [0, *(gap.end() for gap in GAP.finditer(text)), len(text)]
+    for start, stop in pairwise(starts):
+        unit = text[start:stop]
+        words = unit.lower().split()
         if words:
-            found.append((match.start(), match.start() + len(match.group().rstrip()), words))
+            found.append((start, start + len(unit.rstrip()), words))
     return found
 
 
@@ -97,7 +101,7 @@ def repeated_spans(docs: DataFrame, *, min_words: int = MIN_WORDS, by_reach: boo
     and last sentence to the unit cut; words are compared by a byte of hash, with those around the occurrence that stays. The span itself
     is made of whole units. ``start`` and ``stop`` are code points of the text as it is; ``first_*`` is where the first unit of a span stays.
 
-    Null and empty texts have no units. Null ids rank last. Rows with the same id and text are one document. Nothing
+    Ids are whole numbers. Null and empty texts have no units, and an empty table no passages. Null ids rank last. Rows with the same id and text are one document. Nothing
     is dropped from long texts or large groups: a group only gives its size and least occurrence, combined before the shuffle.
     """
     units = unit_table(docs, min_words if by_reach else 0)
@@ -142,7 +146,7 @@ def without_spans(text: Column, spans: Column) -> Column:
 
 def dedup_substrings(docs: DataFrame, *, min_words: int = MIN_WORDS, by_reach: bool = False) -> DataFrame:
     """``docs`` with its repeated passages cut out of ``text`` and listed, with their offsets in the original, in ``removed``
-    (null where nothing went), which replaces a column of that name. See repeated_spans."""
+    (null where nothing went), which replaces a column of that name; other columns are kept, whatever their names. See repeated_spans."""
     spans = repeated_spans(docs, min_words=min_words, by_reach=by_reach)
     span = F.struct("start", "stop", "n_words", "first_doc_id", "first_start")
     by_row = materialise(spans.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("removed")), "removed")
