@@ -182,9 +182,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPL
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Forest:
-    """Trees fitted on the labelled sample; the driver gets its features and labels only. A repeated document counts once."""
+    """Trees fitted on the labelled sample; the driver gets its features and labels only. Of several texts with one id,
+    the one with the least hash counts."""
     sample = labelled_sample(docs, labels, sample_rows)
-    rows = sample.select("doc_id", "y", features(F.col("text")).alias("x")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = sample.select("doc_id", "y", F.xxhash64("text").alias("th"), features(F.col("text")).alias("x"))
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("x", "th").alias("x")).orderBy("doc_id").collect()
     x = np.array([r.x for r in rows], np.float32).reshape(-1, FEATURES)
     return fit(x, np.array([r.y for r in rows], np.float64))
 
@@ -207,7 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     Labels are learnt only from documents outside the held-out fold: crc32 of the id as text, mod FOLDS, is not HELD_OUT.
     Inputs of a score are statistics of the whole text, never ids, sources or languages. Null and empty texts are
     scored as texts without words; a null id counts as the empty text for its fold. Without any label all
-    scores are equal. Repeated rows get equal scores.
+    scores are equal. Repeated rows get equal scores, long texts are read whole, and an empty table gives an empty table. Other columns are kept.
     """
     forest = train(docs, labels, sample_rows)
     scored = docs.withColumn("held_out", ~in_training("doc_id", FOLDS, HELD_OUT)).withColumn("score", quality_score(F.col("text"), forest))
