@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfwise.llm.common import BROADCAST_BYTES, join_measured, rows_in, rows_of, shingles, words_of
+from shelfwise.llm.common import join_measured, rows_of, shingles, words_of
 from shelfwise.workspace import materialise
 
 SHINGLE_WORDS = 5
@@ -43,50 +43,44 @@ def _blocks(fingerprint: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """item_id, words, size (in words), m (number of shingles) of the items with words, written once. Null texts and texts without words
-    are left out, as they match nothing; repeated rows count once."""
-    items = materialise(benchmark.select("item_id", words_of(F.col("text")).alias("words")), "items")
+    """item_id, words, item (hash of the words), size (in words), m (number of shingles) of the items with words, written once. Null texts and
+    texts without words are left out, as they match nothing; repeated rows count once."""
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
     size = F.size("words")
-    return items.where(size > 0).distinct().withColumns({"size": size, "m": F.greatest(size - (SHINGLE_WORDS - 1), F.lit(1))})
+    return materialise(items.withColumns({"item": F.xxhash64("words"), "size": size, "m": F.greatest(size - (SHINGLE_WORDS - 1), F.lit(1))}), "items")
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """Every block value within BLOCK_BITS bits of an item's: size, block, item_id, item_words, fp."""
+    """Every block value within BLOCK_BITS bits of an item's: item, block, item_fp. Items of the same words have one entry."""
     flips = [0] + [1 << i for i in range(8)] + [1 << i | 1 << j for i, j in combinations(range(8), 2)]
     assert RADIUS < BLOCKS * (BLOCK_BITS + 1)
-    marked = items.withColumns({"i1": F.xxhash64("words"), "i2": F.xxhash64(F.lit(1), "words")})
-    prints = materialise(simhash(marked.dropDuplicates(["i1", "i2"]), ["i1", "i2"], "words"), "item-prints")
-    own = ["item_id", F.col("words").alias("item_words"), F.col("m").alias("item_m"), "size", F.col("fp").alias("item_fp")]
-    found = marked.join(prints, ["i1", "i2"]).select(*own, F.explode(_blocks("fp")).alias("exact"))
+    prints = materialise(simhash(items.dropDuplicates(["item"]), ["item"], "words"), "item-prints")
+    found = prints.select("item", F.col("fp").alias("item_fp"), F.explode(_blocks("fp")).alias("exact"))
     flipped = found.withColumn("flip", F.explode(F.array(*map(F.lit, flips))))
     return materialise(flipped.withColumn("block", F.col("exact").bitwiseXOR(F.col("flip"))).drop("exact", "flip"), "item-index")
 
 
 def candidate_windows(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Windows worth a fingerprint: doc_id, th, start, size.
+    """Windows worth a fingerprint, each with the item that it may hold: doc_id, th, item, start, size.
 
     A window as long as an item and similar to it holds at least SIMILARITY of the item's shingles. It can be shifted to
     begin at a shared shingle without losing one. So the windows are those that begin at a shared
     shingle and have enough shared positions; others are below the threshold for certain. At the end of a document they are shorter.
     An item of under SHINGLE_WORDS words is one shingle of its own length, and so are the runs of that length in the documents.
     """
-    seeds = items.select("item_id", F.explode(_hashes(F.col("words"))).alias("h")).distinct()
+    seeds = items.select("item", F.explode(_hashes(F.col("words"))).alias("h")).distinct()
     seeds = materialise(seeds, "item-shingles")
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
     at = split.select("doc_id", "th", F.posexplode(_hashes(F.col("words"))).alias("pos", "h"))
     for row in items.where(F.col("size") < SHINGLE_WORDS).select("size").distinct().collect():
         at = at.unionByName(split.select("doc_id", "th", F.posexplode(_hashes(F.col("words"), row["size"])).alias("pos", "h")))
     hits = join_measured(at, seeds, ["h"], "inner", row_bytes=32, spread=F.col("th"))
-    found = hits.groupBy("doc_id", "th", "item_id").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    found = hits.groupBy("doc_id", "th", "item").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     need = F.ceil(F.lit(SIMILARITY) * F.col("m")).cast("int")
-    sizes = items.select("item_id", "size", "m").groupBy("item_id", "size").agg(F.min("m").alias("m"))
-    full = found.join(_small(sizes, 32), "item_id").withColumn("need", need).where(F.size("at") >= F.col("need"))
+    sizes = materialise(items.select("item", "size", "m").distinct(), "item-sizes")
+    full = join_measured(found, sizes, ["item"], "inner", row_bytes=32, spread=F.col("th")).withColumn("need", need).where(F.size("at") >= F.col("need"))
     starts = F.filter("at", lambda p, i: F.coalesce(F.get("at", i + F.col("need") - 1) - p < F.col("m"), F.lit(False)))
-    return full.select("doc_id", "th", "size", F.explode(starts).alias("start")).distinct()
-
-
-def _small(table: DataFrame, row_bytes: int) -> DataFrame:
-    return F.broadcast(table) if rows_in(table) * row_bytes <= BROADCAST_BYTES else table
+    return full.select("doc_id", "th", "item", "size", F.explode(starts).alias("start")).distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -94,31 +88,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found in a document row.
 
     The words of both sides are parted by ASCII blanks, A-Z lower-cased. Windows have the length of an item. Each window's SimHash
-    meets the items of that length whose fingerprints are within RADIUS bits: one of eight blocks then differs in
-    two bits at most, and the index holds all such values. Those pairs are verified by the similarity of their
+    meets the items whose fingerprints are within RADIUS bits: one of eight blocks then differs in
+    two bits at most, and the index holds all such values. A window probes the index for those items only of whose shingles
+    it holds enough, so that the pairs do not grow with all items of its length. They are verified by the similarity of their
     shingles of five words, each weighted by how often it occurs (sum of least over sum of greatest counts), and stay at 0.8 or more.
 
     Equal windows of many documents are fingerprinted and verified once. Null and empty texts have no windows. An item of under
     five words is one shingle. Ties between windows go to the first. Repeated rows of a document count once; null ids are kept.
-    Empty tables give an empty result, other columns are not read.
+    An item without an id is sought as any other. Empty tables give an empty result, other columns are not read.
     """
     items = benchmark_items(benchmark)
     spots = materialise(candidate_windows(docs, items), "windows")
-    by_row = materialise(spots.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size")).alias("_spots")), "window-rows")
+    by_row = materialise(spots.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "item")).alias("_spots")), "window-rows")
     rows = rows_of(docs.select("doc_id", "text"), by_row, "inner", row_bytes=200)
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"), F.explode("_spots").alias("s"))
     window = F.slice("words", F.col("s.start") + 1, F.col("s.size"))
-    windows = rows.select("doc_id", "th", F.col("s.start").alias("start"), F.col("s.size").alias("size"), window.alias("words"))
+    windows = rows.select("doc_id", "th", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.col("s.item").alias("item"), window.alias("words"))
     windows = windows.withColumns({"c1": F.xxhash64("size", "words"), "c2": F.xxhash64(F.lit(1), "size", "words")})
     windows = materialise(windows, "window-texts")
     contents = windows.groupBy(*CONTENT, "size").agg(F.min("words").alias("words"))
     contents = materialise(contents, "window-contents")
     contents = contents.join(materialise(simhash(contents, CONTENT, "words"), "window-prints"), CONTENT)
-    probes = contents.withColumn("block", F.explode(_blocks("fp")))
-    near = probes.join(_small(item_index(items), 600), ["size", "block"])
-    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).dropDuplicates([*CONTENT, "item_id", "item_words"])
-    verified = materialise(_verify(near), "verified")
-    found = join_measured(windows.drop("words", "size"), verified, CONTENT, "inner", row_bytes=64, spread=F.col("th"))
+    asked = windows.select(*CONTENT, "item").distinct().join(contents.select(*CONTENT, "fp"), CONTENT)
+    probes = asked.withColumn("block", F.explode(_blocks("fp")))
+    near = join_measured(probes, item_index(items), ["item", "block"], "inner", row_bytes=40, spread=F.col("c1"))
+    near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*CONTENT, "item").distinct()
+    longest = items.agg(F.coalesce(F.max(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words")), F.lit(0))).first()[0]
+    texts = items.select("item", "item_id", F.col("words").alias("item_words"), F.col("m").alias("item_m"))
+    near = join_measured(near, texts, ["item"], "inner", row_bytes=64 + longest, spread=F.col("c1"))
+    verified = materialise(_verify(near.join(contents.select(*CONTENT, "words"), CONTENT)), "verified")
+    found = join_measured(windows.drop("words", "size", "item"), verified, CONTENT, "inner", row_bytes=64, spread=F.col("th"))
     best = found.groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
     return best.select(
         "doc_id", "th", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity")
