@@ -248,7 +248,7 @@ def scan_licenses(files: DataFrame, *, texts: Sequence[tuple[str, str]] = TEMPLA
     cosine of tf-idf vectors, so that a header wrapped over several lines is found whatever stands next to it. ``origin`` is "own" where a unit
     reaches ``similarity``; the best one names the licence, RESERVED only where there is no other. Other files inherit the licence of
     the nearest ancestor directory that has a licence file ("inherited"), or have none (null). A licence file has such a name and a licence of
-    its own, or is as a whole within ``file_similarity`` of a template. Of several in a directory, the first path counts.
+    its own, or is as a whole within ``file_similarity`` of a template (so is a source file that holds little but a header). Of several in a directory, the first path counts.
 
     Null and empty texts have no licence of their own; null paths lie at the top. Ties between templates go to the last name.
     Rows with one doc_id and text are compared once. An empty table gives an empty one. Other columns are left out.
