@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shelfwise-"))
         folder = context.getCheckpointDir()
