@@ -74,7 +74,6 @@ TEMPLATES = (
     ),
     ("MIT", "Released under the MIT License."),
     ("MIT", "MIT License"),
-    ("MIT", "The MIT License (MIT)"),
     ("MIT", _MIT_GRANT),
     ("MIT", _MIT_NOTICE),
     ("MIT", _MIT_WARRANTY),
