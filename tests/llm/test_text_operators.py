@@ -293,7 +293,8 @@ def test_network_is_a_distribution_and_carries_its_state():
     counts = np.arange(9000, 0, -1)
     known = recurrent_lm.Vocabulary([str(i).encode() for i in range(9000)], counts, int(counts.sum()) + 10, 9001, 10)
     net = recurrent_lm.Network.start(known)
-    size = recurrent_lm.CLASSES * recurrent_lm.CLASS_SIZE
+    size = known.size
+    assert size == recurrent_lm.OUTCOMES
     state = np.random.default_rng(0).standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32)
     assert abs(np.exp(net.log_probability(np.repeat(state, size, 0), np.arange(size))).sum() - 1) < 1e-3
     texts = [np.random.default_rng(i).integers(1, known.size, n).astype(np.int32) for i, n in enumerate((200, 0, 3, 77, 1))]
@@ -404,17 +405,18 @@ def test_pipeline(spark, tables):
 
 
 def test_network_learns_and_averages_in_tasks(tables, monkeypatch):
-    """The network gains on its start. More tasks than the driver takes weights from are averaged in between, to the same weights."""
+    """The network gains on its start. The weights of many tasks are averaged in blocks of any size, to the same weights, and so again."""
     docs = tables["documents"].select("doc_id", "text")
     known = recurrent_lm.vocabulary(docs, recurrent_lm.word_counts(docs))
     texts = [recurrent_lm._ids(recurrent_lm.words(r.text), known) for r in docs.orderBy("doc_id").limit(40).collect()]
     before = recurrent_lm.Network.start(known).score(texts).sum()
     assert before < recurrent_lm.fit(docs, known, one_in=2).score(texts).sum() < 0
 
-    task_chars = docs.agg(F.sum(F.length("text"))).first()[0] // 100
+    task_chars = docs.agg(F.sum(F.length("text"))).first()[0] // 30
     found = []
-    for limit in (16, 1000):
-        monkeypatch.setattr(recurrent_lm, "AVERAGED", limit)
+    for block in (16_384, 1_000, 16_384):
+        monkeypatch.setattr(recurrent_lm, "BLOCK", block)
         found.append(recurrent_lm.fit(docs, known, one_in=2, rounds=1, task_chars=task_chars).weights())
     for name, weights in found[0].items():
-        np.testing.assert_allclose(weights, found[1][name], atol=1e-4)
+        np.testing.assert_allclose(weights, found[1][name], atol=1e-6)
+        np.testing.assert_allclose(weights, found[2][name], atol=1e-6)

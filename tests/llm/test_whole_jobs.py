@@ -66,7 +66,7 @@ def test_what_the_network_knows_grows_with_the_vocabulary():
     assert shares[0] <= 4_096 < 2 * 4_096 < shares[1] and 3 * shares[1] < shares[2] < 100_000
     net = recurrent_lm.Network.start(known)
     state = np.random.default_rng(0).standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32)
-    chances = np.exp(net.log_probability(np.repeat(state, known.side**2, 0), np.arange(known.side**2)))
+    chances = np.exp(net.log_probability(np.repeat(state, known.size, 0), np.arange(known.size)))
     assert abs(chances.sum() - 1) < 1e-3
     text = [np.array([known.size - 1, known.size - 2] * 50, np.int32)]  # words that were outside before
     before = net.score(text)[0]
@@ -74,6 +74,81 @@ def test_what_the_network_knows_grows_with_the_vocabulary():
     assert net.score(text)[0] > before
 
 
+def window_of(net, texts, width, longest=None):
+    steps = recurrent_lm.Streams(texts, width, longest)
+    state, trace = np.zeros((steps.width, recurrent_lm.HIDDEN), np.float32), []
+    for inputs, goals, _, fresh in steps.window(0, steps.length):
+        before = np.where(fresh[:, None], np.float32(0), state[: len(inputs)])
+        state, *rest = net.step(inputs, before)
+        trace.append((inputs, goals, fresh, before, *rest, state))
+    return trace
+
+
+def test_gradients_equal_finite_differences():
+    counts = np.arange(300, 0, -1)
+    known = recurrent_lm.Vocabulary([b"%d" % i for i in range(300)], counts, int(counts.sum()) + 10, 301, 10)
+    net = recurrent_lm.Network.start(known)
+    texts = [np.random.default_rng(i).integers(1, known.size, n).astype(np.int32) for i, n in enumerate((9, 4, 1))]
+
+    def loss():
+        trace = window_of(net, texts, 2)
+        return -net.log_probability(np.concatenate([x[-1] for x in trace]), np.concatenate([x[1] for x in trace])).sum()
+
+    grads, seen = net._gradients(window_of(net, texts, 2))
+    assert seen == 17
+    for name, (rows, grad) in grads.items():
+        dense = np.zeros(getattr(net, name).shape)
+        dense[rows] = grad
+        raw = []
+        for place in np.argsort(-np.abs(dense), axis=None)[:3]:
+            at, eps = np.unravel_index(place, dense.shape), np.float32(0.02)
+            weights, value = getattr(net, name), getattr(net, name)[at]
+            weights[at] = value + eps
+            above = loss()
+            weights[at] = value - eps
+            raw.append(((above - loss()) / (2 * float(eps)), dense[at]))
+            weights[at] = value
+        scale = raw[0][1] / raw[0][0]  # gradients are divided by the square root of the tokens, and cut to a norm of 5
+        assert 0 < scale <= 1.03 / seen**0.5, name
+        assert all(abs(found - scale * plain) <= 0.03 * abs(found) + 1e-3 for plain, found in raw), name
+
+
+def test_long_documents_are_learnt_whole_in_pieces():
+    text = np.arange(2, 27, dtype=np.int32)
+    steps = recurrent_lm.Streams([text, text[:3]], 3, 7)
+    assert sorted(steps.targets.tolist()) == sorted([*text, *text[:3], recurrent_lm.END, recurrent_lm.END])
+    follows = {(int(a), int(b)) for a, b in zip(steps.inputs, steps.targets)}
+    assert follows == {(recurrent_lm.END, 2), *((i, i + 1) for i in range(2, 26)), (26, recurrent_lm.END), (4, recurrent_lm.END)}
+    assert steps.fresh.sum() == 5 and max(np.bincount(steps.owner)) == 26
+
+
+def test_words_outside_the_network_cost_their_share(spark, monkeypatch):
+    """The whole score against a plain walk: the network's probability for every token, and a share of the counts for those outside."""
+    monkeypatch.setattr(recurrent_lm, "KNOWN_WORDS", 12)
+    monkeypatch.setattr(recurrent_lm, "OUTCOMES", 10)
+    monkeypatch.setattr(recurrent_lm, "GROWTH", 1)
+    monkeypatch.setattr(recurrent_lm, "fit", lambda docs, known: recurrent_lm.Network.start(known))
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{int(k)}" for k in rng.zipf(1.3, 30) if k < 60)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = recurrent_lm.word_counts(docs)
+    known, times = recurrent_lm.vocabulary(docs, counts), {bytes(r.word): r.c for r in counts.collect()}
+    net = recurrent_lm.Network.start(known)
+    inside = set(known.names[: known.size - 2])
+    assert len(inside) == 8 and len(known.names) == 12 < len(times)
+    mass = sum(c + 0.5 for w, c in times.items() if w not in inside) + 0.5
+    got = {r.doc_id: r.score for r in recurrent_lm.score_documents(docs).collect()}
+    for doc_id, text in rows:
+        state, last, total = np.zeros((1, recurrent_lm.HIDDEN), np.float32), recurrent_lm.END, 0.0
+        for word in [*(w.encode() for w in text.split()), None]:
+            state = net.step(np.array([last]), state)[0]
+            last = recurrent_lm.END if word is None else known.index[word] if word in inside else recurrent_lm.OTHER
+            total += net.log_probability(state, np.array([last]))[0] / np.log(10)
+            if last == recurrent_lm.OTHER:
+                total += np.log10((times.get(word, 0) + 0.5) / mass)
+        assert abs(got[doc_id] - total) < 1e-3
+
+
 # --- 10 ---------------------------------------------------------------------------------------------
 
 
