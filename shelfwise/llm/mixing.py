@@ -88,8 +88,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Settle the few units that a flight leaves open: of all outcomes with the number of documents less than two off, the one nearest to the
     total of sizes, then to the number.
 
-    A document that holds much of its source can leave the total far off. Then the one unit of the flight whose change comes
-    nearest to the total is turned over, as long as that helps.
+    A document that holds much of its source can leave the total far off. Then a unit that is taken is exchanged for one that is not, which keeps the
+    number of documents; where that no longer helps, the one unit of the flight whose change comes nearest to the total is turned over, as long as it helps.
     """
     open_units = np.flatnonzero((p > 0) & (p < 1))
     outcomes = (np.arange(1 << len(open_units))[:, None] >> np.arange(len(open_units))) & 1
@@ -98,7 +98,7 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     words = np.round(off @ size[open_units], 6)
     best = np.lexsort((count, np.abs(words), count >= 2))[0]
     p[open_units] = outcomes[best]
-    error = words[best]
+    error = _exchanged(p, size, words[best])
     while True:
         turned = error + np.where(p > 0, -size, size)
         nearest = int(np.argmin(np.abs(turned)))
@@ -107,12 +107,31 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         p[nearest], error = 1 - p[nearest], turned[nearest]
 
 
+def _exchanged(p: np.ndarray, size: np.ndarray, error: float) -> float:
+    """What the total of sizes is off by, after exchanges of one unit with p = 1 for one with p = 0, as long as they bring it nearer."""
+    while True:
+        taken, left = np.flatnonzero(p == 1), np.flatnonzero(p == 0)
+        if not len(taken) or not len(left):
+            return error
+        left = left[np.argsort(size[left], kind="stable")]
+        after = np.searchsorted(size[left], size[taken] - error)
+        chosen = np.clip(np.concatenate([after - 1, after]), 0, len(left) - 1)
+        off = error - np.tile(size[taken], 2) + size[left[chosen]]
+        best = int(np.argmin(np.abs(off)))
+        if abs(off[best]) >= abs(error) - 1e-6:
+            return error
+        p[taken[best % len(taken)]], p[left[chosen[best]]], error = 0.0, 1.0, off[best]
+
+
 def _flown(table: pa.Table, block: int) -> pa.Table:
-    """One group's flight: largest documents first, so that small ones stay open. The last group of a source lands as well."""
+    """One group's flight: documents of middling size first, so that large and small ones stay open, which offset each other when the last
+    group of a source lands."""
     size, draws = table["size"].to_numpy().astype(float), table["draw"].to_numpy()
     order = np.lexsort((draws, -size))
+    rank = np.arange(len(order))
+    order = order[np.argsort(-np.minimum(rank, rank[::-1]), kind="stable")]
     p = table["p"].to_numpy()[order]
-    p = fly(p, size[order], draws[order], leave=min(LANDING, block // 4))
+    p = fly(p, size[order], draws[order], leave=min(LANDING, block // 2))
     if table["last"][0].as_py():
         p = land(p, size[order])
     out = np.empty(len(p))
