@@ -297,15 +297,17 @@ SECOND_LOAD = date(1996, 1, 1)
 
 
 def _halves(spark: SparkSession, folder: str) -> tuple[Star, Star]:
-    """The star parted by date: products come with their first sale."""
-    star = tpch.star(spark, folder).with_written_dimensions()
+    """The star parted by date: products come with their first sale. Products are made, marked and written once for both halves."""
+    star = tpch.star(spark, folder)
     early = F.col("sales_date") < F.lit(SECOND_LOAD)
-    sold = star.sales.where(early).select("product_id").distinct()
+    sold = star.sales.where(early).select("product_id").distinct().withColumn("is_early", F.lit(True))
+    products = materialise(star.products.join(sold, "product_id", "left"), "halves")
+    factors = materialise(star.factors, "factors")
 
-    def half(how: str, kept: Column) -> Star:
-        return Star(star.products.join(sold, "product_id", how), star.sales.where(kept), star.factors.where(kept), written=True)
+    def half(listed: Column, kept: Column) -> Star:
+        return Star(products.where(listed).drop("is_early"), star.sales.where(kept), factors.where(kept), written=True)
 
-    return half("left_semi", early), half("left_anti", ~early)
+    return half(F.col("is_early"), early), half(F.col("is_early").isNull(), ~early)
 
 
 #: Stores of this process by application, folder and state of the files there.

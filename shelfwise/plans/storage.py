@@ -20,7 +20,6 @@ from shelfwise.operators import joins, rollups
 from shelfwise.plans import analysis, load, quality
 from shelfwise.sources.versions import VersionedFolder
 from shelfwise.star import Star
-from shelfwise.workspace import materialise
 
 #: Sales of one bucket, which decides the number of buckets at a rebuild, and the most buckets there may be.
 BUCKET_ROWS = 250_000
@@ -29,6 +28,8 @@ MOST_BUCKETS = 4096
 HOT_SHARE = 1000
 HOT_ROWS = 100_000
 SALTS = 64
+#: A load with over so many times BUCKET_ROWS sales per bucket is added up from plain files, as the buckets would be too few tasks.
+CROWDED = 8
 
 DATA = "data"
 PRODUCTS, SALES, FACTORS = schemas.TABLES
@@ -164,14 +165,9 @@ def _load(star: Star, folder: str, state: dict, number: int, before: Store | Non
     spark = star.sales.sparkSession
     star = star.with_written_dimensions()
     load_id = f"{number:09d}-{uuid.uuid4().hex[:8]}"
-    own = rollups.rollup(star.sales, "product_id", month_of("sales_date").alias("month"))
-    own = materialise(own, "load-by-month")
-    sold = own.groupBy("product_id").agg(F.sum("num_rows").alias("num_rows"))
-    uncategorised = _check_keys(star, sold, before)
-    total = own.agg(F.coalesce(F.sum("num_rows"), F.lit(0))).first()[0]
-    limit = max(hot_rows, total // HOT_SHARE)
-    hot = [row["product_id"] for row in sold.where(F.col("num_rows") > limit).orderBy("product_id").collect()]
-    touched = [row["month"] for row in own.select("month").distinct().orderBy("month").collect()]
+    per_month = star.sales.groupBy(month_of("sales_date").alias("month")).agg(F.count("*").alias("num_rows")).orderBy("month").collect()
+    total, touched = sum(row["num_rows"] for row in per_month), [row["month"] for row in per_month]
+    uncategorised, hot = _check_keys(star, before, max(hot_rows, total // HOT_SHARE))
     buckets = state["buckets"] or min(MOST_BUCKETS, max(1, -(-total // BUCKET_ROWS)))
     state = {**state, "buckets": buckets}
 
@@ -179,15 +175,17 @@ def _load(star: Star, folder: str, state: dict, number: int, before: Store | Non
     hot_flag = F.col("product_id").isin(hot).cast("int") if hot else F.lit(0)
     sales = numbered.withColumns({"load": F.lit(load_id), "hot": F.coalesce(hot_flag, F.lit(0)), "month": month_of("sales_date")})
     salt = F.when(F.col("hot") == 1, F.col("sales_id") % SALTS).otherwise(0)
-    months = _with_stored_months(own, before, touched).withColumn("load", F.lit(load_id))
     tables = {
         PRODUCTS: _counted(star.products.repartition(buckets, "product_id"), "product_id").withColumn("load", F.lit(load_id)),
         FACTORS: _counted(star.factors, "sales_date").withColumn("load", F.lit(load_id)),
-        MONTHS: _by_bucket(months, buckets, "month"),
         SALES: _by_bucket(sales, buckets, "month", salt),
     }
     seen = {}
-    for name, frame in tables.items():
+    for name in (*tables, MONTHS):
+        if name == MONTHS:
+            own = _months_of_load(star, folder, state, load_id, bool(hot), total)
+            tables[MONTHS] = _with_stored_months(own, before, touched, buckets).withColumn("load", F.lit(load_id))
+        frame = tables[name]
         observed = Observation()
         watched = frame.observe(observed, *_metrics(name)).drop(COPIES)
         _write(watched, folder, state, name)
@@ -274,37 +272,73 @@ def checks(store: Store, rows: Mapping[str, int] = quality.MINIMUM_ROWS, exact_c
     return store.spark.createDataFrame(listed, "check string, expected bigint, actual bigint, ok boolean")
 
 
-def _with_stored_months(own: DataFrame, before: Store | None, touched: list[date]) -> DataFrame:
+def _months_of_load(star: Star, folder: str, state: dict, load_id: str, hot: bool, total: int) -> DataFrame:
+    """Totals per product and month of the sales that a load has written.
+
+    Written sales lie in their buckets, and their totals go into the same ones, so that nothing is moved. Hot products, and all of a
+    load far larger than the buckets were made for, are read as plain files instead, in any number of tasks, and combined before they move.
+    """
+    spark, path, buckets = star.sales.sparkSession, _path(folder, state, SALES), state["buckets"]
+    table = spark.table(_table_name(state["generation"], SALES))
+    own = table.where(F.col("load") == load_id)
+    crowded = total > CROWDED * BUCKET_ROWS * buckets
+    if not (hot or crowded):
+        return rollups.rollup(own, "product_id", "month")
+    files = spark.read.schema(table.schema).option("basePath", path).parquet(f"{path}/load={load_id}")
+    spread = _by_bucket(rollups.rollup(files if crowded else files.where("hot = 1"), "product_id", "month"), buckets, "month")
+    return spread if crowded else rollups.rollup(own.where("hot = 0"), "product_id", "month").unionByName(spread)
+
+
+def _with_stored_months(own: DataFrame, before: Store | None, touched: list[date], buckets: int) -> DataFrame:
     """Totals of the months that a load touches: its own, merged with what is stored of just these months."""
-    if before is None:
+    both = [month for month in touched if before and month and str(month) in before.state["months"]]
+    if not both:
         return own
-    stored = before.months().where(F.col("month").isin(touched)) if touched else before.months().where("false")
-    return rollups.merge(own.unionByName(stored.select(own.columns)), "product_id", "month").drop("num_parts")
+    is_stored = F.col("month").isin(both)
+    stored = before.months().where(is_stored).select(own.columns)
+    merged = rollups.merge(own.where(is_stored).unionByName(stored), "product_id", "month").drop("num_parts")
+    return own.where(~is_stored | F.col("month").isNull()).unionByName(_by_bucket(merged, buckets, "month"))
 
 
-def _check_keys(star: Star, sold: DataFrame, before: Store | None) -> int:
+def _check_keys(star: Star, before: Store | None, limit: int) -> tuple[int, list[int]]:
     """Raise for a product id or a date loaded before, and for a sale of a product that neither load knows.
 
-    Returns the number of sales whose product has no category. ``sold`` has the number of sales per product, so that the sales are not read
-    for it.
+    Returns the number of sales whose product has no category, and the products with over ``limit`` sales. One aggregate by product
+    answers all of it, to which products of both loads and sales come as rows with the same columns.
     """
-    known = star.products.select("product_id", "product_category")
+
+    def listed(products: DataFrame, is_new: bool) -> DataFrame:
+        return products.select("product_id", F.col("product_category").isNull().alias("uncategorised"), F.lit(is_new).alias("is_new"), F.lit(0).alias("sold"))
+
+    rows = listed(star.products, True)
     if before is not None:
-        for new, stored, key in ((star.products, before.products, "product_id"), (star.factors, before.factors, "sales_date")):
-            again = new.join(stored.select(key), key, "left_semi").orderBy(key).first()
-            if again:
-                raise load.LoadError(f"{key} {again[key]} is stored already")
-        known = known.unionByName(before.products.select("product_id", "product_category"))
-    listed = known.groupBy("product_id").agg(F.bool_or(F.col("product_category").isNull()).alias("uncategorised"))
-    judged = sold.join(listed, "product_id", "left").agg(
-        F.count_if(F.col("uncategorised").isNull()).alias("unknown"),
-        F.min(F.when(F.col("uncategorised").isNull(), F.col("product_id"))).alias("example"),
-        F.coalesce(F.sum(F.when(F.col("uncategorised"), F.col("num_rows"))), F.lit(0)).alias("uncategorised"),
+        rows = rows.unionByName(listed(before.products, False))
+    none = F.lit(None).cast("boolean")
+    rows = rows.unionByName(star.sales.select("product_id", none.alias("uncategorised"), none.alias("is_new"), F.lit(1).alias("sold")))
+    by_product = rows.groupBy("product_id").agg(
+        F.bool_or("uncategorised").alias("uncategorised"),
+        F.bool_or("is_new").alias("in_load"),
+        F.bool_or(~F.col("is_new")).alias("in_store"),
+        F.sum("sold").alias("num_rows"),
     )
-    result = judged.first()
+    product, has_sales = F.col("product_id"), F.col("num_rows") > 0
+    is_unknown = has_sales & (F.col("uncategorised").isNull() | product.isNull())
+    result = by_product.agg(
+        F.min(F.when(F.col("in_load") & F.col("in_store"), product)).alias("again"),
+        F.count_if(is_unknown).alias("unknown"),
+        F.min(F.when(is_unknown, product)).alias("example"),
+        F.coalesce(F.sum(F.when(F.col("uncategorised"), F.col("num_rows"))), F.lit(0)).alias("uncategorised"),
+        F.collect_list(F.when(F.col("num_rows") > limit, product)).alias("hot"),
+    ).first()
+    if result["again"] is not None:
+        raise load.LoadError(f"product_id {result['again']} is stored already")
+    if before is not None:
+        again = star.factors.join(before.factors.select("sales_date"), "sales_date", "left_semi").orderBy("sales_date").first()
+        if again:
+            raise load.LoadError(f"sales_date {again['sales_date']} is stored already")
     if result["unknown"]:
         raise load.LoadError(f"sales of product {result['example']}, which is not listed")
-    return result["uncategorised"]
+    return result["uncategorised"], sorted(result["hot"])
 
 
 def sweep(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:

@@ -9,6 +9,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from shelfwise import catalog
 from shelfwise.operators import joins, rollups
 from shelfwise.plans import analysis, dashboard, load, quality, skus, storage
 from shelfwise.sources.versions import VersionConflict, VersionedFolder
@@ -252,3 +253,60 @@ def test_hot_products_are_read_in_many_tasks(spark, tmp_path, no_broadcast):
     plan = final_plan(joined)
     assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan and "Bucketed: false" in plan
     assert storage.monthly_trend(store).collect() == analysis.monthly_trend(store.star()).collect()
+
+
+# --- the work of a load ----------------------------------------------------------------------------
+
+
+def months_of(store):
+    """Monthly totals of a store, and the same from its sales."""
+    found = store.months().select("product_id", "month", *[c for c in store.months().columns if c not in ("product_id", "month")])
+    fresh = rollups.rollup(store.sales().drop("month", "hot"), "product_id", storage.month_of("sales_date").alias("month"))
+    return sorted(map(tuple, found.collect()), key=repr), sorted(map(tuple, fresh.select(found.columns).collect()), key=repr)
+
+
+def test_monthly_totals_of_a_load_are_added_up_where_its_sales_lie(spark, tmp_path, monkeypatch):
+    seen = {}
+    write = storage._write
+
+    def watched(rows, folder, state, name):
+        seen.setdefault(name, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        write(rows, folder, state, name)
+
+    monkeypatch.setattr(storage, "_write", watched)
+    storage.rebuild(star_of(spark, range(1, 40), DAYS[:2]), str(tmp_path), buckets=3)
+    storage.append(star_of(spark, range(40, 60), DAYS[2:]), str(tmp_path))
+    assert [plan.count("Exchange") for plan in seen[storage.MONTHS]] == [0, 0]
+    stored, fresh = months_of(storage.open_store(spark, str(tmp_path)))
+    assert stored == fresh and len(stored) == 39 + 3 * 20
+
+
+@pytest.mark.parametrize("hot_rows, crowded", [(4, 8), (100_000, 0), (4, 0)])
+def test_totals_of_hot_products_and_of_crowded_buckets(spark, tmp_path, monkeypatch, hot_rows, crowded):
+    monkeypatch.setattr(storage, "CROWDED", crowded)
+    first, second = star_of(spark, range(1, 40), DAYS[:3]), star_of(spark, range(40, 60), DAYS[2:], DAYS[3:])
+    one = star_of(spark, [40], DAYS[2:]).sales
+    second = replace(second, sales=second.sales.unionByName(one).unionByName(one))
+    storage.rebuild(first, str(tmp_path), buckets=3)
+    store = storage.append(second, str(tmp_path), hot_rows=hot_rows)
+    assert store.state["hot"] == ([40] if hot_rows == 4 else [])
+    stored, fresh = months_of(store)
+    assert stored == fresh and len(stored) == 39 * 2 + 20 * 3
+
+
+def test_products_of_two_loads_are_made_once(spark, tmp_path):
+    """A product comes with its first sale; neither half joins again to find its products."""
+    tables = {
+        "lineitem": "SELECT id AS l_orderkey, id % 7 AS l_partkey, id % 2 AS l_suppkey, 3.0D AS l_quantity, 9.5D AS l_extendedprice, 'R' AS l_returnflag,"
+        " CAST(date_add(DATE'1995-12-01', CAST(id * 4 AS INT)) AS TIMESTAMP) AS l_shipdate FROM range(20)",
+        "part": "SELECT id AS p_partkey, 'PROMO' AS p_type FROM range(7)",
+        "orders": "SELECT id AS o_orderkey, CAST(date_add(DATE'1995-12-01', CAST(id * 4 AS INT)) AS TIMESTAMP) AS o_orderdate, 5.0D AS o_totalprice FROM range(20)",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(str(tmp_path / f"{name}.parquet"))
+    first, second = catalog._halves(spark, str(tmp_path))
+    for half in (first, second):
+        assert "Join" not in half.products._jdf.queryExecution().executedPlan().toString()
+    ids = [{row["product_id"] for row in half.products.collect()} for half in (first, second)]
+    assert ids[0] == {row["product_id"] for row in first.sales.collect()} and len(ids[0]) == 8
+    assert not ids[0] & ids[1] and len(ids[0] | ids[1]) == 14
