@@ -20,6 +20,11 @@ SKETCH_LG = 14
 
 SKU_KEYS = ["product_id", "product_category", "promotions"]
 
+# A task that adds rows up on the map side holds all groups it meets. Up to so many groups in all, this is left to Spark.
+MAP_SIDE_GROUPS = 1_000_000
+# Beyond them, rows are dealt by the key first, to tasks of so many rows.
+ROWS_PER_TASK = 500_000
+
 
 def _is_whole(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.IntegralType)
@@ -61,6 +66,19 @@ def measures(df: DataFrame) -> list[Column]:
     ]
 
 
+def dealt(df: DataFrame, key: str, measured: DataFrame) -> DataFrame:
+    """Rows to be added up by ``key``, dealt by it first where their groups are too many to be held on the map side.
+
+    Then few rows of a task have a key in common, and adding them up before the exchange only holds them. With few groups the
+    rows stay where they are, so that a hot key leaves each task as one row. ``measured`` has the same keys and is read once or
+    twice for them: it should be a table, or cheap columns of one.
+    """
+    num_rows = measured.count()
+    if num_rows <= MAP_SIDE_GROUPS or measured.agg(F.approx_count_distinct(key)).first()[0] <= MAP_SIDE_GROUPS:
+        return df
+    return df.repartition(-(-num_rows // ROWS_PER_TASK), key)
+
+
 def rollup(df: DataFrame, *keys: str | Column) -> DataFrame:
     return df.groupBy(*keys).agg(*measures(df))
 

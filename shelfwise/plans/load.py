@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from shelfwise import schemas
 from shelfwise.functions import casts, exact, rules
-from shelfwise.operators import joins
+from shelfwise.operators import joins, rollups
 from shelfwise.operators.keys import dense_key
 from shelfwise.plans import analysis
 from shelfwise.sources import csv
@@ -121,7 +121,9 @@ def load_products(staging: DataFrame, mode: str = STRICT) -> DataFrame:
     return dedupe_products(_typed(staging, "products", mode, ["product_id"]))
 
 
-def dedupe_products(rows: DataFrame) -> DataFrame:
+def dedupe_products(rows: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """One row per product id. ``measured`` has the same ids, where they are cheap to read; see ``rollups.dealt``."""
+    rows = rows if measured is None else rollups.dealt(rows, "product_id", measured)
     return rows.groupBy("product_id").agg(
         F.max("product_category").alias("product_category"),
         rules.yes_wins(F.bool_or(rules.is_yes(F.col("promotions")))).alias("promotions"),

@@ -71,7 +71,7 @@ def star(spark: SparkSession, folder: str) -> Star:
     """Base tables without row numbers on the sales."""
     lines = _table(spark, folder, "lineitem")
     return Star(
-        load.dedupe_products(_products(lines, _table(spark, folder, "part"))),
+        load.dedupe_products(_products(lines, _table(spark, folder, "part")), measured=lines.select(_product_id())),
         _sales(lines),
         load.average_by_date(raw_factors(spark, folder)),
     )

@@ -12,7 +12,7 @@ from check_oracle import connect, difference
 from oracle.sql import ORACLES
 from shelfwise import schemas
 from shelfwise.catalog import QUERIES
-from shelfwise.operators import joins
+from shelfwise.operators import joins, rollups
 from shelfwise.operators.keys import _source_row
 from shelfwise.plans import analysis, dashboard, load
 from shelfwise.sources import tpch
@@ -142,6 +142,34 @@ def test_sales_move_once_on_their_product(spark):
     assert len(re.findall(r"Exchange hashpartitioning\(product_id", plan)) == 2
 
 
+@pytest.mark.parametrize("name", ["q11_promotion_impact_whole", "q12_promotion_impact_large"])
+def test_many_products_are_dealt_before_they_are_added_up(spark, monkeypatch, name):
+    """With more products than a task should hold, no task adds up before the exchange, and tasks follow the rows."""
+    lines = spark.read.parquet(f"{SMOKE_FOLDER}/lineitem.parquet").count()
+    before = {tuple(r) for r in queries()[name](spark, SMOKE_FOLDER).collect()}
+    monkeypatch.setattr(rollups, "MAP_SIDE_GROUPS", 100)
+    monkeypatch.setattr(rollups, "ROWS_PER_TASK", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries()[name](spark, SMOKE_FOLDER)
+        plan, after = plan_of(df), {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    tasks = -(-lines // 500)
+    exchanges = re.findall(r"Exchange hashpartitioning\(product_id\S*, (\d+)\), (\w+).*\n\W*(\w+)", plan)
+    assert [(n, why) for n, why, _ in exchanges] == [(str(tasks), "REPARTITION_BY_NUM")] * 2
+    assert not [below for _, _, below in exchanges if "Aggregate" in below]
+    assert after == before
+
+
+def test_few_products_are_added_up_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "MAP_SIDE_GROUPS", 3)
+    rows = spark.range(1000).select((F.col("id") % 3).alias("product_id"))
+    many = spark.range(1000).select(F.col("id").alias("product_id"))
+    assert rollups.dealt(rows, "product_id", rows) is rows
+    assert rollups.dealt(many, "product_id", many).rdd.getNumPartitions() == 1
+
+
 def test_hot_product_is_split_in_the_row_level_join(spark, skewed_folder):
     small = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
