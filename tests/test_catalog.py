@@ -162,6 +162,23 @@ def test_many_products_are_dealt_before_they_are_added_up(spark, monkeypatch, na
     assert after == before
 
 
+def test_promotion_impact_holds_no_more_products_than_a_task_is_dealt(spark, monkeypatch):
+    """Neither the sales nor the products are added up on the map side, and a task is dealt some ROWS_PER_TASK products at most."""
+    monkeypatch.setattr(rollups, "MAP_SIDE_GROUPS", 50)
+    monkeypatch.setattr(rollups, "ROWS_PER_TASK", 200)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(queries()["q12_promotion_impact"](spark, SMOKE_FOLDER))
+        sales = tpch.star(spark, SMOKE_FOLDER).sales
+        dealt = rollups.dealt(sales, "product_id", sales)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = re.findall(r"Exchange hashpartitioning\(product_id.*\n\W*(\w+)", plan)
+    assert len(below) == 2 and "HashAggregate" not in below
+    held = dealt.groupBy(F.spark_partition_id()).agg(F.countDistinct("product_id").alias("n"))
+    assert max(r.n for r in held.collect()) <= 2 * 200 < sales.select("product_id").distinct().count()
+
+
 def test_few_products_are_added_up_where_they_are(spark, monkeypatch):
     monkeypatch.setattr(rollups, "MAP_SIDE_GROUPS", 3)
     rows = spark.range(1000).select((F.col("id") % 3).alias("product_id"))
