@@ -113,6 +113,38 @@ def test_gradients_equal_finite_differences():
         assert all(abs(found - scale * plain) <= 0.03 * abs(found) + 1e-3 for plain, found in raw), name
 
 
+@pytest.mark.parametrize("shape", [(5,), (4, 3)])
+@pytest.mark.parametrize("rows", [range(40), [3], [0, 2, 4, *range(10, 33), 36, 38, 39], range(0, 40, 2)])
+def test_an_adam_step_changes_the_rows_met_alone(monkeypatch, shape, rows):
+    """The same as the step on all rows at once, to the bit, whether they stand together or not and however few are taken together."""
+    monkeypatch.setattr(recurrent_lm, "CACHED", 36)
+    rng, rows = np.random.default_rng(7), np.array(rows)
+    weights, first, g = (rng.standard_normal((n, *shape)).astype(np.float32) for n in (40, 40, len(rows)))
+    second, rate = rng.random((40, *shape)).astype(np.float32), np.float32(0.01)
+    one = first[rows] + np.float32(0.1) * (g - first[rows])
+    two = second[rows] + np.float32(0.01) * (g * g - second[rows])
+    wanted = [weights.copy(), first.copy(), second.copy()]
+    wanted[0][rows] -= rate * one / (np.sqrt(two) + np.float32(1e-7))
+    wanted[1][rows], wanted[2][rows] = one, two
+    recurrent_lm._descend(weights, first, second, rows, g, rate)
+    assert all(np.array_equal(a, b) for a, b in zip((weights, first, second), wanted))
+
+
+def test_rows_are_added_up_by_word_and_by_node():
+    rng = np.random.default_rng(3)
+    ids = np.minimum(rng.zipf(1.4, 600), 90_000).astype(np.int32)
+    rows = rng.standard_normal((600, 6)).astype(np.float32)
+    assert np.array_equal(recurrent_lm._order(ids), np.argsort(ids, kind="stable")) and not len(recurrent_lm._order(ids[:0]))
+    met, sums = recurrent_lm._word_sums(ids, rows)
+    times = np.bincount(ids)
+    assert times.max() > 5 * recurrent_lm.OFTEN and (times == 1).sum() > 5 and np.array_equal(met, np.unique(ids))
+    np.testing.assert_allclose(sums, [rows[ids == w].astype(float).sum(0) for w in met], atol=1e-4)
+    for begins in ([0], [0, 300], [0, 1, 2, 40], [*range(0, 600, 4)]):
+        ends = [*begins[1:], 600]
+        got = recurrent_lm._node_sums(rows, np.array(begins), np.array(ends))
+        np.testing.assert_allclose(got, [rows[a:b].astype(float).sum(0) for a, b in zip(begins, ends)], atol=1e-4)
+
+
 def test_long_documents_are_learnt_whole_in_pieces():
     text = np.arange(2, 27, dtype=np.int32)
     steps = recurrent_lm.Streams([text, text[:3]], 3, 7)
