@@ -7,6 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shelfwise.llm import common
 from shelfwise.llm.common import join_measured, rows_of, shingles, words_of
 from shelfwise.workspace import materialise
 
@@ -17,6 +18,9 @@ RADIUS = 23
 BLOCKS = 8
 BLOCK_BITS = 2
 CONTENT = ["c1", "c2"]
+#: Of a document row in a broadcast, and of each of its windows.
+ROW_BYTES = 64
+SPOT_BYTES = 40
 
 
 def _hashes(words: Column, size: int = SHINGLE_WORDS) -> Column:
@@ -93,14 +97,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     it holds enough, so that the pairs do not grow with all items of its length. They are verified by the similarity of their
     shingles of five words, each weighted by how often it occurs (sum of least over sum of greatest counts), and stay at 0.8 or more.
 
-    Equal windows of many documents are fingerprinted and verified once. Null and empty texts have no windows. An item of under
+    Equal windows of many documents are fingerprinted and verified once, and so are items of the same words. Null and empty texts have no windows. An item of under
     five words is one shingle. Ties between windows go to the first. Repeated rows of a document count once; null ids are kept.
     An item without an id is sought as any other. Empty tables give an empty result, other columns are not read.
     """
     items = benchmark_items(benchmark)
     spots = materialise(candidate_windows(docs, items), "windows")
     by_row = materialise(spots.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "size", "item")).alias("_spots")), "window-rows")
-    rows = rows_of(docs.select("doc_id", "text"), by_row, "inner", row_bytes=200)
+    rows = rows_with_windows(docs.select("doc_id", "text"), by_row)
     rows = rows.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"), F.explode("_spots").alias("s"))
     window = F.slice("words", F.col("s.start") + 1, F.col("s.size"))
     windows = rows.select("doc_id", "th", F.col("s.start").alias("start"), F.col("s.size").alias("size"), F.col("s.item").alias("item"), window.alias("words"))
@@ -114,28 +118,51 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = join_measured(probes, item_index(items), ["item", "block"], "inner", row_bytes=40, spread=F.col("c1"))
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*CONTENT, "item").distinct()
     longest = items.agg(F.coalesce(F.max(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words")), F.lit(0))).first()[0]
-    texts = items.select("item", "item_id", F.col("words").alias("item_words"), F.col("m").alias("item_m"))
-    near = join_measured(near, texts, ["item"], "inner", row_bytes=64 + longest, spread=F.col("c1"))
-    verified = materialise(_verify(near.join(contents.select(*CONTENT, "words"), CONTENT)), "verified")
-    found = join_measured(windows.drop("words", "size", "item"), verified, CONTENT, "inner", row_bytes=64, spread=F.col("th"))
-    best = found.groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("best"))
+    texts = items.dropDuplicates(["item"]).select("item", F.col("words").alias("item_words"), F.col("m").alias("item_m"))
+    near = join_measured(near, materialise(texts, "item-texts"), ["item"], "inner", row_bytes=64 + longest, spread=F.col("c1"))
+    verified = materialise(_shared(near.join(contents.select(*CONTENT, "words"), CONTENT)), "verified")
+    similarity = F.col("both") / (F.col("total") - F.col("both"))
+    verified = verified.select(*CONTENT, "item", "n_words", similarity.alias("similarity")).where(F.col("similarity") >= SIMILARITY)
+    found = join_measured(windows.drop("words", "size"), verified, [*CONTENT, "item"], "inner", row_bytes=72, spread=F.col("th"))
+    ranked = F.struct("similarity", (-F.col("start")).alias("back"), "n_words")
+    best = found.groupBy("doc_id", "th", "item").agg(F.max(ranked).alias("best"))
+    named = join_measured(best, items.select("item", "item_id"), ["item"], "inner", row_bytes=64, spread=F.col("th"))
+    best = named.groupBy("doc_id", "th", "item_id").agg(F.max("best").alias("best"))
     return best.select(
         "doc_id", "th", "item_id", (-F.col("best.back")).cast("int").alias("start"), F.col("best.n_words").alias("n_words"), F.col("best.similarity").alias("similarity")
     )
 
 
-def _verify(near: DataFrame) -> DataFrame:
-    """Content and item with a weighted shingle similarity of SIMILARITY or more."""
-    pair = [*CONTENT, "item_id", "n_words", "total"]
-    own = near.withColumns({"pair": F.struct(*CONTENT, "item_id", F.xxhash64("item_words").alias("text")), "n_words": F.size("words")})
-    own = own.withColumn("total", F.greatest(F.size("words") - (SHINGLE_WORDS - 1), F.lit(1)) + F.col("item_m"))
-    a = own.select("pair", *pair, F.explode(_texts(F.col("words"))).alias("shingle"), F.lit(1).alias("a"), F.lit(0).alias("b"))
-    b = own.select("pair", *pair, F.explode(_texts(F.col("item_words"))).alias("shingle"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-    counts = a.unionByName(b).groupBy("pair", *pair, "shingle").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    both = counts.groupBy("pair", *pair).agg(F.sum(F.least("a", "b")).alias("both"))
-    similarity = F.col("both") / (F.col("total") - F.col("both"))
-    scored = both.withColumn("similarity", similarity).where(F.col("similarity") >= SIMILARITY)
-    return scored.groupBy(*CONTENT, "item_id", "n_words").agg(F.max("similarity").alias("similarity"))
+def rows_with_windows(docs: DataFrame, by_row: DataFrame) -> DataFrame:
+    """``docs`` joined to the written table of their windows (doc_id, th, _spots), which is broadcast if it is small with all
+    its windows. If not, only its keys pick the rows, so that no other texts are dealt by key."""
+    n, spots = by_row.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_spots")), F.lit(0))).first()
+    small = n * ROW_BYTES + spots * SPOT_BYTES <= common.BROADCAST_BYTES
+    if not small:
+        docs = materialise(rows_of(docs, by_row.select("doc_id", "th"), "left_semi"), "window-docs")
+    return rows_of(docs, by_row, "inner", small=small)
+
+
+def _shared(near: DataFrame) -> DataFrame:
+    """Content and item, one row for each row of ``near``: n_words, total (shingles of both sides), both (shingles they share, each as
+    often as on the side where it is rarer).
+
+    Each pair is counted within its row: the shingles of both sides in one sorted array, those of the window first among equals,
+    and every shingle of the item takes one that is left. A row for each shingle would take far more memory than the pairs.
+    """
+
+    def side(words: str, own: int) -> Column:
+        return F.transform(_texts(F.col(words)), lambda s: F.struct(s.alias("s"), F.lit(own).alias("own")))
+
+    def step(so_far: Column, x: Column) -> Column:
+        left = F.when(x["s"] == so_far["s"], so_far["left"]).otherwise(0)
+        taken = F.when((x["own"] == 1) & (left > 0), 1).otherwise(0)
+        return F.struct(x["s"].alias("s"), F.when(x["own"] == 0, left + 1).otherwise(left - taken).alias("left"), (so_far["both"] + taken).alias("both"))
+
+    none = F.struct(F.lit(None).cast("string").alias("s"), F.lit(0).alias("left"), F.lit(0).alias("both"))
+    both = F.aggregate(F.sort_array(F.concat(side("words", 0), side("item_words", 1))), none, step, lambda end: end["both"])
+    total = F.greatest(F.size("words") - (SHINGLE_WORDS - 1), F.lit(1)) + F.col("item_m")
+    return near.select(*CONTENT, "item", F.size("words").alias("n_words"), total.alias("total"), both.alias("both"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from shelfwise.llm import decontaminate, pieces, queries, recurrent_lm, substring_dedup
+from shelfwise.llm import common, decontaminate, pieces, queries, recurrent_lm, substring_dedup
 
 # --- 2 ----------------------------------------------------------------------------------------------
 
@@ -189,3 +192,56 @@ def test_short_items_are_found_inside_longer_texts(spark):
     items = spark.createDataFrame([(1, "three four"), (2, "six"), (3, "four five six seven"), (4, "five four")], "item_id long, text string")
     found = {(r.doc_id, r.item_id, r.start) for r in decontaminate.contaminated(docs, items).collect()}
     assert found == {(1, 1, 2), (1, 2, 5), (1, 3, 3), (3, 1, 0)}
+
+
+def test_shingles_shared_by_a_pair_are_counted_within_its_row(spark):
+    rng = random.Random(5)
+    sides = [[rng.choices("ab", k=rng.randrange(1, 30)) for _ in range(2)] for _ in range(60)] + [[["a"] * 3, ["a"] * 3], [["a", "b"], ["b", "a"]], [["a"] * 9, ["a"] * 7]]
+    rows = [(i, i, 7, a, b, max(len(b) - 4, 1)) for i, (a, b) in enumerate(sides)]
+    near = spark.createDataFrame(rows, "c1 long, c2 long, item long, words array<string>, item_words array<string>, item_m int")
+    shared = decontaminate._shared(near)
+    runs = [[Counter(tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))) for x in pair] for pair in sides]
+    want = {(i, len(sides[i][0]), sum((a & b).values()), a.total() + b.total()) for i, (a, b) in enumerate(runs)}
+    assert {(r.c1, r.n_words, r.both, r.total) for r in shared.collect()} == want
+    assert "Generate" not in shared._jdf.queryExecution().executedPlan().toString()
+
+
+def written(monkeypatch):
+    """Rows of each table that decontamination writes, by its label."""
+    rows, write = {}, decontaminate.materialise
+
+    def counted(df, label):
+        table = write(df, label)
+        rows[label] = table.count()
+        return table
+
+    monkeypatch.setattr(decontaminate, "materialise", counted)
+    return rows
+
+
+def test_items_of_the_same_words_are_verified_once(spark, monkeypatch):
+    passage = "every item of a benchmark may be listed under many numbers but its words are compared with a window only once"
+    docs = spark.createDataFrame([(1, f"before it {passage} and after"), (None, passage.upper()), (2, "nothing of it here")], "doc_id long, text string")
+    rows = written(monkeypatch)
+    seen = []
+    for ids in ([1], [*range(1, 31), 30, None]):
+        items = spark.createDataFrame([*((i, passage) for i in ids), (1, passage + " and"), (1, "an item of other words altogether")], "item_id long, text string")
+        got = decontaminate.contaminated(docs, items).collect()
+        assert len(got) == 2 * len(set(ids))
+        found = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in got}
+        assert found == {(d, i): (2 if d else 0, 21, 1.0) if not d or i != 1 else (2, 22, 1.0) for d in (1, None) for i in ids}
+        seen.append(rows["verified"])
+    assert seen[0] == seen[1] > 0
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_rows_of_many_windows_count_with_all_their_windows(spark, monkeypatch, broadcast):
+    passage = "a document may hold the words of an item so often that its windows take more room than its text does"
+    docs = spark.createDataFrame([(1, " ".join([passage] * 40)), (None, passage), (None, passage), (2, "nothing of it here")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, passage), (2, passage + " a")], "item_id long, text string")
+    rows = written(monkeypatch)
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 2000)
+    got = {tuple(r)[0:1] + tuple(r)[2:] for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(1, 1, 0, 21, 1.0), (1, 2, 0, 22, 1.0), (None, 1, 0, 21, 1.0), (None, 2, 0, 21, 17 / 18)}
+    assert rows["windows"] > 80 and rows["window-rows"] == 2 and rows.get("window-docs") == (None if broadcast else 3)
